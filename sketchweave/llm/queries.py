@@ -5,23 +5,41 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
+from .langid import identify
 from .mixing import FACTOR, PRIME, ROWS_PER_SLOT, SLOTS, mix, offset_of
+from .packing import pack_documents
 
 
 def _documents(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_pack_documents(spark, sf_dir):
+    return pack_documents(_documents(spark, sf_dir), tokenizer_file())
+
+
 def op4_mix_sources(spark, sf_dir):
     return mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_identify_language(spark, sf_dir):
+    return identify(_documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op8_exact_dedup(spark, sf_dir):
     return exact_dedup(_documents(spark, sf_dir), keep="max").withColumnRenamed("digest", "text_sha256")
 
 
 QUERIES = {
+    "op2_pack_documents": op2_pack_documents,
     "op4_mix_sources": op4_mix_sources,
+    "op7_identify_language": op7_identify_language,
     "op8_exact_dedup": op8_exact_dedup,
 }
 
