@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
+from .html_extract import extract_pages
 from .langid import identify
 from .mixing import FACTOR, PRIME, ROWS_PER_SLOT, SLOTS, mix, offset_of
 from .packing import pack_documents
+from .quality import classify
 
 
 def _documents(spark, sf_dir):
@@ -24,6 +26,12 @@ def op2_pack_documents(spark, sf_dir):
     return pack_documents(_documents(spark, sf_dir), tokenizer_file())
 
 
+def op3_quality(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return classify(docs, labels).select("doc_id", "held_out", "score", "predicted")
+
+
 def op4_mix_sources(spark, sf_dir):
     return mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -36,11 +44,17 @@ def op8_exact_dedup(spark, sf_dir):
     return exact_dedup(_documents(spark, sf_dir), keep="max").withColumnRenamed("digest", "text_sha256")
 
 
+def op9_extract_html(spark, sf_dir):
+    return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES = {
     "op2_pack_documents": op2_pack_documents,
+    "op3_quality": op3_quality,
     "op4_mix_sources": op4_mix_sources,
     "op7_identify_language": op7_identify_language,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_extract_html": op9_extract_html,
 }
 
 ORACLE_SQL = {
