@@ -128,7 +128,7 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int) -> Model | None:
     rows = [(r[0], int(r[1])) for r in chosen.limit(2 * fit_rows).collect()]
     if not rows:
         return None
-    small = docs.sparkSession.createDataFrame(rows, labels.schema.simpleString().removeprefix("struct<").removesuffix(">"))
+    small = docs.sparkSession.createDataFrame(rows, known.schema)
     table = docs.select("id", "text").join(F.broadcast(small), "id").toArrow().sort_by("id")
     return fit(table["text"].combine_chunks(), np.asarray(table["label"].to_numpy(zero_copy_only=False))) if table.num_rows else None
 
