@@ -21,6 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from . import bytehash
 from .common import pick
@@ -143,7 +144,7 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     shared = df.sparkSession.sparkContext.broadcast(model)
     df = df.drop("score", "predicted").withColumn("held_out", held_out(id_col))
     at = df.columns.index(text_col)
-    schema = df.schema.add("score", "double").add("predicted", "int")
+    schema = StructType([*df.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
 
     def run(batches):
         model = shared.value
