@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_dedup
 from .html_extract import extract_pages
+from .jaccard_join import jaccard_components
 from .langid import identify
 from .mixing import FACTOR, PRIME, ROWS_PER_SLOT, SLOTS, mix, offset_of
 from .packing import pack_documents
@@ -48,6 +49,10 @@ def op9_extract_html(spark, sf_dir):
     return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op10_jaccard_join(spark, sf_dir):
+    return jaccard_components(_documents(spark, sf_dir))
+
+
 QUERIES = {
     "op2_pack_documents": op2_pack_documents,
     "op3_quality": op3_quality,
@@ -55,6 +60,7 @@ QUERIES = {
     "op7_identify_language": op7_identify_language,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_extract_html": op9_extract_html,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLE_SQL = {
