@@ -11,6 +11,7 @@ from .langid import identify
 from .mixing import FACTOR, PRIME, ROWS_PER_SLOT, SLOTS, mix, offset_of
 from .packing import pack_documents
 from .quality import classify
+from .suffix_dedup import dedup_substrings
 
 
 def _documents(spark, sf_dir):
@@ -37,6 +38,10 @@ def op4_mix_sources(spark, sf_dir):
     return mix(_documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_dedup_substrings(spark, sf_dir):
+    return dedup_substrings(_documents(spark, sf_dir)).drop("kept")
+
+
 def op7_identify_language(spark, sf_dir):
     return identify(_documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
 
@@ -57,6 +62,7 @@ QUERIES = {
     "op2_pack_documents": op2_pack_documents,
     "op3_quality": op3_quality,
     "op4_mix_sources": op4_mix_sources,
+    "op5_dedup_substrings": op5_dedup_substrings,
     "op7_identify_language": op7_identify_language,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_extract_html": op9_extract_html,
