@@ -12,6 +12,7 @@ from .mixing import FACTOR, PRIME, ROWS_PER_SLOT, SLOTS, mix, offset_of
 from .packing import pack_documents
 from .quality import classify
 from .suffix_dedup import dedup_substrings
+from .vector_dedup import near_vectors
 
 
 def _documents(spark, sf_dir):
@@ -42,6 +43,10 @@ def op5_dedup_substrings(spark, sf_dir):
     return dedup_substrings(_documents(spark, sf_dir)).drop("kept")
 
 
+def op6_near_vectors(spark, sf_dir):
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op7_identify_language(spark, sf_dir):
     return identify(_documents(spark, sf_dir), tokenizer_file("piece_bpe_32k.model"))
 
@@ -63,6 +68,7 @@ QUERIES = {
     "op3_quality": op3_quality,
     "op4_mix_sources": op4_mix_sources,
     "op5_dedup_substrings": op5_dedup_substrings,
+    "op6_near_vectors": op6_near_vectors,
     "op7_identify_language": op7_identify_language,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_extract_html": op9_extract_html,
