@@ -1,8 +1,77 @@
-"""A corpus pipeline: every stage takes (spark, docs, sf_dir) and returns what the next one reads."""
+"""A corpus pipeline over ``documents``.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor
+kept; all but the last return the columns of documents.  Rows are matched by
+doc_id, null-safely; rows repeated with one doc_id share its decision.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sketchweave.llm.common import materialise
+from sketchweave.llm.exact_dedup import exact_dedup
+from sketchweave.llm.jaccard_join import jaccard_components
+from sketchweave.llm.mixing import mix
+from sketchweave.llm.packing import pack_documents
+from sketchweave.llm.quality import classify
+from sketchweave.llm.queries import tokenizer_file
+
+#: Near duplicates: words of a shingle, and the similarity in per cent from which one document of a group stays.
+SHINGLE, SIMILARITY = 5, 80
+
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``ids``."""
+    ids = ids.select(F.col("doc_id").alias("_kept_id"))
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept_id"]), "left_semi")
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops what the quality classifier rejects."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return classify(docs, labels).where("predicted = 1").select(*docs.columns)
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the row with the largest doc_id stays."""
+    return _only(docs, exact_dedup(docs, keep="max").where("kept"))
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of linked texts, the one with the smallest doc_id stays."""
+    groups = jaccard_components(docs, width=SHINGLE, percent=SIMILARITY)
+    return _only(docs, groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    copies = mix(docs).where("copies > 0").select(F.col("doc_id").alias("_mixed_id"), "copies")
+    placed = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_mixed_id"]))
+    return placed.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*[docs[c] for c in docs.columns])
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in their sequences."""
+    return pack_documents(docs, tokenizer_file())
+
+
+STAGES = [
+    ("quality", good_quality),
+    ("exact dedup", without_copies),
+    ("near dedup", without_near_copies),
+    ("mixing", mixed),
+    ("packing", packed),
+]
 
-STAGES = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialise(docs, f"stage-{i}")
+    return docs
