@@ -8,6 +8,7 @@ from .exact_dedup import exact_dedup
 from .html_extract import extract_pages
 from .jaccard_join import jaccard_components
 from .langid import identify
+from .license_scan import scan
 from .mixing import FACTOR, PRIME, ROWS_PER_SLOT, SLOTS, mix, offset_of
 from .packing import pack_documents
 from .quality import classify
@@ -25,6 +26,10 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_scan_licenses(spark, sf_dir):
+    return scan(_documents(spark, sf_dir)).drop("hits")
+
+
 def op2_pack_documents(spark, sf_dir):
     return pack_documents(_documents(spark, sf_dir), tokenizer_file())
 
@@ -64,6 +69,7 @@ def op10_jaccard_join(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_scan_licenses": op1_scan_licenses,
     "op2_pack_documents": op2_pack_documents,
     "op3_quality": op3_quality,
     "op4_mix_sources": op4_mix_sources,
