@@ -2,9 +2,10 @@
 
 Documents are partitioned into groups of similar ones (by two minimum hashes of
 their shingle sets).  The matrix stores, per token, the groups whose union holds
-it; of each document only the tokens that a partner must share one of enter it
-(a prefix in one global order, frequent tokens last).  Two groups that share no
-entry have no link; of the rest, the smaller visits the larger, a visiting
+it; of each document only the tokens that a partner must share some of enter it
+(a prefix in one global order, frequent tokens last, longer by the number of
+entries that linked sets are then sure to share).  Two groups that share too
+few entries have no link; of the rest, the smaller visits the larger, a visiting
 document is held against the group's whole token union, and only groups that it
 can still reach the similarity in are opened and compared exactly.
 
@@ -38,9 +39,11 @@ from .ragged import positions, slices, utf8
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[32, *range(9, 14)]] = True
 #: Bytes of text handled at a time, and tokens whose frequency is counted at a time.
-SLICE, CHUNK = 4 << 20, 2_000_000
-#: Frequent tokens that the global order puts last: at most so many, each seen in this many documents of a chunk.
-HEAVY, HEAVY_SEEN = 1 << 16, 3
+SLICE, CHUNK = 4 << 20, 4_000_000
+#: Frequent tokens that the global order puts last: at most so many (16 bytes each, broadcast), each seen in this many documents of a chunk.
+HEAVY, HEAVY_SEEN = 1 << 20, 2
+#: One entry more that linked sets must share for so many tokens of the smaller set.
+SHARE = 16
 #: Documents of an opened block: members of the group, visitors.
 MEMBERS, VISITORS = 256, 1024
 SALT = np.array([0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25], np.uint64)
@@ -110,9 +113,18 @@ def heavy_tokens(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
         if held:
             yield flush()
 
-    found = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(HEAVY).toArrow()
+    counts = materialise(docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "shingle-counts")
+    # The lowest count from which the tokens are few enough to broadcast.
+    least, total = None, 0
+    for n, k in counts.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
+        if total + k > HEAVY:
+            break
+        least, total = n, total + k
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    found = counts.where(F.col("n") >= least).toArrow()
     tokens, n = found["token"].to_numpy().view(np.uint64), found["n"].to_numpy()
-    place = np.empty(len(n), np.int64)
+    place = np.empty(len(n), np.int32)
     place[np.lexsort((tokens, n))] = np.arange(1, len(n) + 1)
     order = np.argsort(tokens)
     return tokens[order], place[order]
@@ -123,6 +135,11 @@ def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
     return (percent * n + 99) // 100
 
 
+def shared_entries(n: np.ndarray) -> np.ndarray:
+    """Matrix entries that a set of n asks two linked sets to share; the prefix is longer by as many."""
+    return 1 + n // SHARE
+
+
 def describe(docs: DataFrame, width: int, percent: int, heavy) -> DataFrame:
     """Per row: id, n, set digest (d1, d2), group g, and the prefix tokens as bytes."""
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
@@ -139,7 +156,7 @@ def describe(docs: DataFrame, width: int, percent: int, heavy) -> DataFrame:
                 a, b = mix(x ^ SALT[0]), mix(x ^ SALT[1])
                 d1.append(a.sum()), d2.append(b.sum())
                 g.append(mix(a.min(keepdims=True) * np.uint64(3) + b.min(keepdims=True))[0])
-                keep = len(x) - int(least_overlap(len(x), percent)) + 1
+                keep = len(x) - int(least_overlap(len(x), percent)) + int(shared_entries(len(x)))
                 late = np.zeros(len(x), np.int64)
                 if len(tokens):
                     at = np.minimum(np.searchsorted(tokens, x), len(tokens) - 1)
@@ -188,16 +205,17 @@ def group_pairs(described: DataFrame, percent: int) -> DataFrame:
             left = positions(begin, count)
             of = np.repeat(np.arange(len(begin)), count)
             rest = begin[of] + count[of] - 1 - left
-            seen = np.zeros((0, 2), np.uint64)
+            seen, shared, least = np.zeros((0, 2), np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
             for a in range(0, len(left), 20_000):
                 x = np.repeat(left[a : a + 20_000], rest[a : a + 20_000])
                 y = positions(left[a : a + 20_000] + 1, rest[a : a + 20_000])
                 ok = (percent * e["lo"][x].astype(np.int64) <= 100 * e["hi"][y].astype(np.int64)) & (percent * e["lo"][y].astype(np.int64) <= 100 * e["hi"][x].astype(np.int64))
                 found = np.stack([e["g"][x[ok]], e["g"][y[ok]]], axis=1)
-                seen = distinct(np.vstack([seen, found]))
+                low = np.minimum(e["lo"][x[ok]], e["lo"][y[ok]]).astype(np.int64)
+                seen, shared, least = counted(np.vstack([seen, found]), np.append(shared, np.ones(len(found), np.int64)), np.append(least, low))
             if len(seen):
                 long = seen.view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(long.min(axis=1)), pa.array(long.max(axis=1))], names=["g1", "g2"])
+                yield pa.RecordBatch.from_arrays([pa.array(long.min(axis=1)), pa.array(long.max(axis=1)), pa.array(shared), pa.array(least)], names=["g1", "g2", "shared", "least"])
 
         held, now = [], None
         for batch in batches:
@@ -212,13 +230,18 @@ def group_pairs(described: DataFrame, percent: int) -> DataFrame:
 
     blobs = described.where("n > 0").select("g", "n", "prefix").mapInArrow(spread, "bucket long, entries binary")
     dealt = blobs.repartition(width, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(match, "g1 long, g2 long").distinct()
+    found = dealt.mapInArrow(match, "g1 long, g2 long, shared long, least long").groupBy("g1", "g2").agg(F.sum("shared").alias("shared"), F.min("least").alias("least"))
+    return found.where(F.col("shared") >= 1 + F.floor(F.col("least") / SHARE)).select("g1", "g2")
 
 
-def distinct(pairs: np.ndarray) -> np.ndarray:
+def counted(pairs: np.ndarray, shared: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One row for each pair: sum of the shared entries, smallest size."""
+    if not len(pairs):
+        return pairs, shared, least
     order = np.lexsort((pairs[:, 1], pairs[:, 0]))
     pairs = pairs[order]
-    return pairs[np.append(True, (pairs[1:] != pairs[:-1]).any(axis=1))] if len(pairs) else pairs
+    begin = np.flatnonzero(np.append(True, (pairs[1:] != pairs[:-1]).any(axis=1)))
+    return pairs[begin], np.add.reduceat(shared[order], begin), np.minimum.reduceat(least[order], begin)
 
 
 def merged(e: np.ndarray) -> np.ndarray:
@@ -295,14 +318,7 @@ def links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, per
     away = classes.join(visits, "g").join(homes, "home").select("rep", "home", every("nh").alias("hb"), spot("nv").alias("vb"), F.lit(True).alias("visitor"))
     places = at_home.unionByName(away)
 
-    def tokens(batches):
-        for batch in batches:
-            sets = [x.tobytes() for _, x in shingle_sets(batch.column(1), width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(sets, pa.binary())], names=["rep", "home", "hb", "vb", "visitor", "tokens"])
-
-    placed = docs.select(F.col("id").alias("rep"), "text").join(places, "rep").select("rep", "text", "home", "hb", "vb", "visitor")
-    kind = docs.schema["id"].dataType.simpleString()
-    placed = placed.mapInArrow(tokens, f"rep {kind}, home long, hb int, vb int, visitor boolean, tokens binary")
+    placed = docs.select(F.col("id").alias("rep"), "text").join(places, "rep").select("rep", "home", "hb", "vb", "visitor", "text")
     key = ["home", "hb", "vb"]
     dealt = placed.repartition(shuffle_width(docs.sparkSession), *key).sortWithinPartitions(*key, "visitor")
 
@@ -312,11 +328,12 @@ def links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, per
         emit = lambda e: pa.RecordBatch.from_arrays([pa.array([x for x, _ in e], pa.int64()), pa.array([y for _, y in e], pa.int64())], names=["a", "b"])
         found = []
         for batch in batches:
-            for rep, home, hb, vb, visitor, raw in zip(*[c.to_pylist() for c in batch.columns]):
+            sets = [x for _, x in shingle_sets(batch.column(5), width)]
+            for rep, home, hb, vb, visitor, x in zip(*[c.to_pylist() for c in batch.columns[:5]], sets):
                 if (home, hb, vb) != now:
                     found += edges()
                     now, sides = (home, hb, vb), ([], [])
-                sides[visitor].append((rep, np.frombuffer(raw, np.uint64)))
+                sides[visitor].append((rep, x))
             if len(found) > 10_000:
                 yield emit(found)
                 found = []
