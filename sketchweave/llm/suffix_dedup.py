@@ -45,7 +45,7 @@ from .ragged import positions, slices, utf8
 
 LEAST = 50
 #: Bytes of a gram; half the window in which a cutting place has the smallest gram hash; bytes of a block.
-GRAM, REACH, BLOCK = 24, 64, 2 << 20
+GRAM, REACH, BLOCK = 24, 64, 1 << 20
 SECOND = mix(bytehash.TABLE + np.uint64(99))
 LAST = np.iinfo(np.int64).max
 
@@ -305,7 +305,7 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError(f"least must be over {GRAM}")
     spark = df.sparkSession
     width = shuffle_width(spark)
-    bits = max(1, (width * 4 - 1).bit_length())
+    bits = max(1, (width * 8 - 1).bit_length())
     docs = pick(df, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), "text")
     table = bucketed(blocks_of(docs, block), width)
 
