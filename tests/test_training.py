@@ -156,3 +156,21 @@ def test_multi_part_training(spark):
     assert [e for e, _ in epochs] == [0, 1]
     log = bt.loss_log(bt.logistic_scores(df, epochs[-1][1].model).selectExpr("example_id div 10 as batch_id", "ln(p) as loss"))
     assert [r.cnt for r in log.orderBy("batch_id").collect()] == [10, 20]
+
+
+@pytest.mark.parametrize("kind", ["logistic", "fine", "coarse", "hashed"])
+def test_online_predictions_after_each_part(spark, kind):
+    rows = [(i, i % 2, f, 1.0) for i in range(40) for f in (i % 2, 10 + i % 5)]
+    df = spark.createDataFrame(rows, "example_id long, label int, feature int, x double")
+    cfg = BIG.but(n_buckets=9973, n_classes=2, lr=0.5)
+    got = on.fit_predict_online([df.where("example_id < 20"), df.where("example_id >= 20")], df, cfg, kind).collect()
+    assert len(got) == 80 and {r.epoch for r in got} == {0, 1}
+    assert all(r.prediction == r.label for r in got)
+
+
+def test_online_fine_fidelity_stores_sizes(spark):
+    _, df = examples(spark, n=10, n_classes=3)
+    cfg = BIG.but(n_buckets=9973, n_classes=3)
+    signed = {(r["class"], r.feature): r.w for r in on.fit_online(df, cfg, "fine").collect()}
+    sizes = {(r["class"], r.feature): r.w for r in on.fit_online(df, cfg, "fine", fidelity=True).collect()}
+    assert any(w < 0 for w in signed.values()) and sizes == pytest.approx({k: abs(v) for k, v in signed.items()})
