@@ -173,9 +173,9 @@ def group_pairs(described: DataFrame, percent: int) -> DataFrame:
     """Pairs of groups that share a matrix entry and have members of compatible sizes: g1 < g2.
 
     The entries travel as packed arrays, one per token bucket and block of rows.
+    Few buckets: a pair comes out of each once, with the number of entries shared there.
     """
-    width = shuffle_width(described.sparkSession)
-    buckets = width * 4
+    width = buckets = shuffle_width(described.sparkSession)
 
     def spread(batches):
         for batch in batches:
