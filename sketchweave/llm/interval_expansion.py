@@ -10,18 +10,26 @@ from .ragged import positions
 def suffix_order(text: np.ndarray, longest: int) -> np.ndarray:
     """Suffix array.  text: ints, every value under ``first real symbol`` unique, so that no two suffixes
     agree beyond ``longest`` symbols; prefix doubling stops there."""
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    h, n = 1, len(text)
+    n, base = len(text), int(text.max()) + 2
+    if base < 1 << 21:
+        # Three symbols at once; a suffix that ends before counts as smallest.
+        key, h = np.zeros(n, np.int64), 3
+        for k in range(3):
+            key *= base
+            key[: n - k] += text[k:].astype(np.int64) + 1
+    else:
+        key, h = text.astype(np.int64), 1
+    rank = np.zeros(n, np.int32)
     while True:
-        nxt = np.zeros(n, np.int64)
-        nxt[: n - h] = rank[h:] + 1
-        key = rank * (n + 1) + nxt
-        order = np.argsort(key, kind="stable")
-        new = np.zeros(n, np.int64)
-        new[order[1:]] = np.cumsum(key[order[1:]] != key[order[:-1]])
-        rank, h = new, 2 * h
+        order = np.argsort(key).astype(np.int32)
+        key = key[order]
+        rank[order[0]] = 0
+        rank[order[1:]] = np.cumsum(key[1:] != key[:-1], dtype=np.int32)
         if h > longest or rank[order[-1]] == n - 1:
             return order
+        key = rank.astype(np.int64) * (n + 1)
+        key[: max(0, n - h)] += rank[h:] + 1
+        h *= 2
 
 
 def classes(raw: np.ndarray, lengths: np.ndarray, least: int) -> np.ndarray:
@@ -36,39 +44,43 @@ def classes(raw: np.ndarray, lengths: np.ndarray, least: int) -> np.ndarray:
         return out
     # Every string ends with a symbol of its own, smaller than all bytes.
     ends = np.cumsum(lengths + 1) - 1
-    text = np.empty(total + k, np.int64)
+    text = np.empty(total + k, np.int32)
     mark = np.zeros(total + k, bool)
     mark[ends] = True
-    text[~mark] = raw.astype(np.int64) + k
+    text[~mark] = raw.astype(np.int32) + k
     text[mark] = np.arange(k)
     order = suffix_order(text, int(lengths.max()) + 1)
     n = len(text)
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
+    place = np.empty(n, np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
     # LF: the place of the suffix one symbol longer; backward extension of an interval is LF of its members.
     before = order - 1
-    lf = np.where(before >= 0, place[before], -1)
+    lf = np.where(before >= 0, place[before], np.int32(-1))
     lf[(before >= 0) & mark[before]] = -1  # no extension over the end of a string
     # known[i]: the common prefix of places i - 1 and i is shorter than least.
     known = np.zeros(n + 1, bool)
     known[0] = known[n] = True
     low, high = np.array([0]), np.array([n])
     symbol = text[order]
+    del place, before, text
     for length in range(least):
         # Intervals of strings of this length, each extended backward by every symbol before its members.
         at = positions(low, high - low)
-        to = np.sort(lf[at])
-        to = to[to >= 0]
+        longer = lf[at]
+        if len(at) * 8 > n:
+            reached = np.zeros(n, bool)
+            reached[longer[longer >= 0]] = True
+            to = np.flatnonzero(reached)
+        else:
+            to = np.sort(longer[longer >= 0])
         if not len(to):
             break
         if length == 0:
             cut = np.append(True, symbol[to[1:]] != symbol[to[:-1]])
         else:
-            of = np.repeat(np.arange(len(low)), high - low)
-            source = np.empty(n, np.int64)
-            source[lf[at]] = of  # -1 writes the last place, which is read only if it is in `to`, and then set below
-            keep = lf[at] >= 0
-            source[lf[at][keep]] = of[keep]
+            of = np.repeat(np.arange(len(low), dtype=np.int32), high - low)
+            source = np.empty(n, np.int32)
+            source[longer[longer >= 0]] = of[longer >= 0]
             cut = np.append(True, (to[1:] != to[:-1] + 1) | (source[to[1:]] != source[to[:-1]]) | (symbol[to[1:]] != symbol[to[:-1]]))
         begin = np.flatnonzero(cut)
         new_low = to[begin]
