@@ -4,9 +4,11 @@ Text is gathered in blocks, each under its root-to-leaf tag path.  Per path the
 text length outside links and the punctuation are summed; both ratios (per
 block) are smoothed over neighbouring paths in page order, fused by their
 product and held against a threshold.  The content nodes are the blocks of the
-deepest element that holds most of the text on the paths over the threshold (an
+deepest element that holds every block on a path over the threshold (an
 enclosing article or main element if there is one), without the elements that
-never belong to an article and without paths that are nearly all links.
+never belong to an article.  Paths that are nearly all links are left out only
+before the first and after the last block over the threshold, and never inside
+an article or main element.
 
 Defined results: null, empty and text-less pages give an empty text; markup
 that isn't closed ends with the page; repeated rows are extracted alike; a null
@@ -37,6 +39,7 @@ CLASS_WORDS = frozenset(
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 CLOSES_P = BLOCK - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+MAIN = frozenset({"article", "main"})
 STOPS = frozenset("ul ol dl table div section article aside nav form main body".split())
 
 TAG = re.compile(r"""<!--|<(/?)([a-zA-Z][^\s/>]*)((?>"[^"]*"|'[^']*'|[^"'>]|["'])*+)>|<[!?/][^>]*>?""")
@@ -44,7 +47,7 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^
 WORD = re.compile(r"[A-Za-z]+(?:-[A-Za-z]+)*")
 SPACE = re.compile(r"\s+")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
-SPAN, KEEP, MOST, LINKS = 1, 0.25, 0.6, 0.8
+SPAN, KEEP, LINKS = 1, 0.25, 0.8
 
 
 def aside(tag: str, attributes: str) -> bool:
@@ -162,7 +165,7 @@ def content_paths(page: Page) -> np.ndarray:
     window = np.ones(2 * SPAN + 1) / (2 * SPAN + 1)
     smooth = lambda x: x / 2 + np.convolve(x, window, mode="full")[SPAN : SPAN + n] / 2
     fused = np.sqrt(smooth(size / blocks) * (1 + smooth(marks / blocks))) * np.sqrt(size)
-    return fused >= KEEP * fused.max()
+    return (fused > 0) & (fused >= KEEP * fused.max())
 
 
 def extract(source: str | None) -> str:
@@ -172,28 +175,26 @@ def extract(source: str | None) -> str:
     if not page.blocks:
         return ""
     good = content_paths(page)
-    weight: dict[int, int] = {}
-    for text, linked, path, chain in page.blocks:
-        if good[path]:
-            for e in chain:
-                weight[e] = weight.get(e, 0) + len(text) - linked
-    total = sum(len(t) - k for t, k, p, _ in page.blocks if good[p])
-    # Elements are numbered in page order, so the last one that holds enough is the deepest.
-    node = max((e for e, w in weight.items() if w >= MOST * total), default=None)
+    found = [i for i, (*_, path, _) in enumerate(page.blocks) if good[path]]
+    if found:
+        first, last = found[0], found[-1]
+        # The elements that hold every block on a good path; chains run from the root.
+        above = page.blocks[first][3]
+        for i in found:
+            above = tuple(a for a, b in zip(above, page.blocks[i][3]) if a == b)
+        if len(above) > 1 and (page.elements[above[-1]] in ("p", "li", "td", "blockquote", "pre") or page.elements[above[-1]][0] == "h"):
+            above = above[:-1]
+    else:
+        first, last, above = len(page.blocks), -1, ()
+    node = next((e for e in reversed(above) if page.elements[e] in MAIN), None)
     if node is not None:
-        chain = next(c for *_, c in page.blocks if node in c)
-        above = chain[: chain.index(node) + 1]
-        if page.elements[node] == "p" or page.elements[node] in ("li", "td", "blockquote", "pre") or page.elements[node][0] == "h":
-            node = above[-2] if len(above) > 1 else node
-        for e in above:
-            if page.elements[e] in ("article", "main"):
-                node = e
-    inside = [b for b in page.blocks if node is None or node in b[3]]
+        return "\n".join(t for t, *_, chain in page.blocks if node in chain)
+    inside = [(i, *b) for i, b in enumerate(page.blocks) if not above or above[-1] in b[3]]
     size, linked = np.zeros(len(page.paths)), np.zeros(len(page.paths))
-    for text, k, path, _ in inside:
+    for _, text, k, path, _ in inside:
         size[path] += len(text)
         linked[path] += k
-    return "\n".join(t for t, _, p, _ in inside if linked[p] <= LINKS * size[p])
+    return "\n".join(t for i, t, _, p, chain in inside if first <= i <= last or linked[p] <= LINKS * size[p] or any(page.elements[e] in MAIN for e in chain))
 
 
 def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sketchweave.llm import exact_dedup as ed
 from sketchweave.llm.components import components
 from sketchweave.llm.exact_dedup import exact_dedup
-from sketchweave.llm.html_extract import extract_pages
+from sketchweave.llm.html_extract import extract, extract_pages
 from sketchweave.llm.jaccard_join import jaccard_components
 from sketchweave.llm.langid import identify
 from sketchweave.llm.license_scan import scan
@@ -246,6 +246,18 @@ def test_pages(spark):
     assert extract_pages(df.limit(0)).count() == 0
 
 
+def test_pages_keep_all_content():
+    long, short = "Some words, and more of them. " * 24, "Other words, and a few more. " * 10
+    lines = lambda *t: "\n".join(x.strip() for x in t)
+    assert extract(f"<body><div><p>{long}</p></div><div><p>{short}</p></div></body>") == lines(long, short)
+    assert extract(f"<p>{long}</p><p>{short}</p>") == lines(long, short)
+    assert extract(f"<body><table><tr><td>{long}</td></tr><tr><td>{short}</td></tr></table><p>{short}</p></body>") == lines(long, short, short)
+    assert extract(f"<body><ul><li>{long}</li><li>{short}</li></ul><div><p>{short}</p></div></body>") == lines(long, short, short)
+    assert extract(f"<article><p>{long}</p><ul><li><a>One</a></li><li><a>Two</a></li></ul></article>") == lines(long, "One", "Two")
+    assert extract(f"<body><article><p>{long}</p></article><article><p>{short}</p></article></body>") == lines(long, short)
+    assert extract(f"<body><nav><a>Home</a></nav><div><a>Home</a></div><p>{long}</p><p>{short}</p><footer>End</footer></body>") == lines(long, short)
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     import corpus_pipeline
 
