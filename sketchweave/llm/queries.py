@@ -27,7 +27,7 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
 
 
 def op1_scan_licenses(spark, sf_dir):
-    return scan(_documents(spark, sf_dir)).drop("hits")
+    return scan(_documents(spark, sf_dir))
 
 
 def op2_pack_documents(spark, sf_dir):

@@ -16,11 +16,11 @@ from sketchweave.llm.exact_dedup import exact_dedup
 from sketchweave.llm.html_extract import extract, extract_pages
 from sketchweave.llm.jaccard_join import jaccard_components
 from sketchweave.llm.langid import identify
-from sketchweave.llm.license_scan import scan
+from sketchweave.llm.license_scan import TEMPLATES, scan
 from sketchweave.llm.mixing import mix
 from sketchweave.llm.packing import pack_documents, pack_examples
 from sketchweave.llm.quality import classify
-from sketchweave.llm.queries import tokenizer_file
+from sketchweave.llm.queries import op1_scan_licenses, tokenizer_file
 from sketchweave.llm.suffix_dedup import dedup_substrings
 from sketchweave.llm.vector_dedup import near_vectors
 
@@ -179,6 +179,16 @@ def test_licences(spark, docs):
     assert scan(empty(spark)).count() == 0
 
 
+def test_licence_query_returns_every_notice(spark, tmp_path):
+    mit, gpl = (TEMPLATES[f][0] for f in ("mit", "gpl"))
+    text = f"Some code of ours.\n\n{mit}\n\nAnd of others.\n\n{gpl}"
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    row = op1_scan_licenses(spark, str(tmp_path)).first()
+    named = [h for h in row.hits if h.family != "unknown"]
+    assert [h.family for h in named] == ["mit", "gpl"] and (row.n_hits, row.n_unknown) == (2, len(row.hits) - 2)
+    assert [text[h.start : h.end] for h in named] == [mit.rstrip("."), gpl.rstrip(".")]
+
+
 def test_substrings(spark, docs):
     want, seen = {}, {}
     for i, t in sorted(pairs(docs), key=lambda r: float("inf") if r[0] is None else r[0]):
