@@ -6,8 +6,10 @@ lists of its members and prunes them robustly; the lists that one vector has in
 several shards are united.  Each vector then searches the shards nearest to it,
 greedily from the shard's medoids, and goes on expanding while vectors within
 the range appear.  What is found is verified by cosine in double precision.
-A bounded audit compares a hashed sample of queries with brute force; if its
-recall is under the target, the search is done again over twice as many shards.
+An audit compares a hashed sample of queries, drawn whatever was found for them,
+with brute force; the sample grows until enough of its queries have links.  If
+the recall is under the target, the search is done again over twice as many
+shards, and over all of them at last by exact blocks instead of graphs.
 
 A vector counts in its home shard only, so no pair has to be removed again, and
 links leave a task as counts and as a spanning forest.
@@ -37,7 +39,8 @@ SHARD, CENTROIDS, SPLIT = 512, 4096, 8192
 OVERLAP, VISITS, FIT_ROWS = 2, 4, 20_000
 #: Neighbours considered and kept, pruning factor, width of the search, medoids.
 NEAR, DEGREE, ALPHA, BEAM, MEDOIDS = 48, 16, 1.2, 16, 4
-AUDIT, RECALL = 64, 0.95
+#: Queries that an audit starts with and stops at, those with links that are enough, and the least recall.
+AUDIT, MOST_AUDITED, ENOUGH, RECALL = 64, 4096, 64, 0.95
 QUERIES = 512
 
 
@@ -196,14 +199,16 @@ def _search(classes: DataFrame, n: int, width: int, limit: float, visits: int, b
     x = unit(np.array(sample["vec"].to_pylist() or classes.select("vec").limit(1).toArrow()["vec"].to_pylist(), np.float64))
     cells = centroids_of(x, min(CENTROIDS, -(-n // SHARD), len(x)))
     shared = spark.sparkContext.broadcast(cells)
+    exact = False
     while True:
-        counts, edges, recall = _search_once(classes, shared, len(cells), width, limit, min(visits, len(cells)), buckets, audit)
-        if recall >= RECALL or visits >= len(cells):
+        counts, edges, recall = _search_once(classes, shared, len(cells), width, limit, min(visits, len(cells)), buckets, audit, exact)
+        if recall >= RECALL or exact:
             return counts, edges
+        exact = visits >= len(cells)
         visits *= 2
 
 
-def _search_once(classes, shared, k, width, limit, visits, buckets, audit):
+def _search_once(classes, shared, k, width, limit, visits, buckets, audit, exact):
     def assign(batches):
         cells = shared.value
         for batch in batches:
@@ -246,8 +251,8 @@ def _search_once(classes, shared, k, width, limit, visits, buckets, audit):
             if not len(at):
                 continue
             rep, home, w = t["rep"].to_numpy(), t["home"].to_numpy(zero_copy_only=False)[at], t["w"].to_numpy()[at]
-            exact = unit(vectors(t["vec"], width))
-            q, x = exact.astype(np.float32), exact[at].astype(np.float32)
+            double = unit(vectors(t["vec"], width))
+            q, x = double.astype(np.float32), double[at].astype(np.float32)
             place = {r: i for i, r in enumerate(rep[at].tolist())}
             degree = OVERLAP * DEGREE
             nbr = np.repeat(np.arange(len(at))[:, None], degree, axis=1)
@@ -269,10 +274,10 @@ def _search_once(classes, shared, k, width, limit, visits, buckets, audit):
             forest = Forest()
             total, left, right = np.zeros(len(rep), np.int64), [], []
             for a in range(0, len(rep), QUERIES):
-                found = search(q[a : a + QUERIES], x, nbr, start, limit - 0.05)
+                found = q[a : a + QUERIES] @ x.T if exact else search(q[a : a + QUERIES], x, nbr, start, limit - 0.05)
                 i, j = np.nonzero((found >= limit - 1e-4) & home[None, :])
                 i = i + a
-                cosine = np.einsum("nd,nd->n", exact[i], exact[at[j]])
+                cosine = np.einsum("nd,nd->n", double[i], double[at[j]])
                 ok = (cosine >= limit) & (rep[i] != rep[at[j]])
                 i, j = i[ok], j[ok]
                 np.add.at(total, i, w[j])
@@ -290,23 +295,42 @@ def _search_once(classes, shared, k, width, limit, visits, buckets, audit):
 
 
 def audited(classes: DataFrame, counts: DataFrame, width: int, limit: float, size: int) -> float:
-    """Recall of a hashed sample of queries against brute force over all class vectors."""
+    """Recall of a hashed sample of queries against brute force over all class vectors: of links, or of queries on average if that is less.
+
+    The sample starts with about ``size`` queries and grows until ENOUGH of them have links, at most to MOST_AUDITED or all vectors.
+    """
     if not size:
         return 1.0
-    picked = classes.select("rep", "vec").orderBy(F.xxhash64(F.lit(11), "rep"), "rep").limit(size).toArrow()
-    linked = classes.join(counts.where("near > 0"), "rep", "left_semi").select("rep", "vec").orderBy(F.xxhash64(F.lit(12), "rep"), "rep").limit(size).toArrow()
-    picked = pa.concat_tables([picked, linked])
-    ids, q = picked["rep"].to_numpy(), unit(np.array(picked["vec"].to_pylist(), np.float64))
-    shared = classes.sparkSession.sparkContext.broadcast((ids, q))
+    n = classes.count()
+    while True:
+        share = int(min(1.0, size / max(1, n)) * (1 << 30))
+        picked = classes.where(F.pmod(F.xxhash64(F.lit(11), "rep"), F.lit(1 << 30)) < share).select("rep", "vec").toArrow()
+        truth = _true_links(classes, picked, width, limit) if len(picked) else []
+        if len(truth) >= ENOUGH or size >= min(n, MOST_AUDITED):
+            break
+        size = min(8 * size, MOST_AUDITED)
+    if not truth:
+        return 1.0
+    found = {r.rep: r.near for r in counts.where(F.col("rep").isin([r.rep for r in truth])).collect()}
+    pairs = [(min(r.n, found.get(r.rep, 0)), r.n) for r in truth]
+    return min(sum(a for a, _ in pairs) / sum(b for _, b in pairs), sum(a / b for a, b in pairs) / len(pairs))
+
+
+def _true_links(classes: DataFrame, picked: pa.Table, width: int, limit: float) -> list:
+    """(rep, n) of the picked vectors that have links."""
+    shared = classes.sparkSession.sparkContext.broadcast((picked["rep"].to_numpy(), unit(np.array(picked["vec"].to_pylist(), np.float64))))
 
     def run(batches):
         ids, q = shared.value
+        total = np.zeros(len(ids), np.int64)
         for batch in batches:
-            if batch.num_rows:
-                v = unit(np.asarray(batch.column(2).flatten(), np.float64).reshape(-1, width))
-                hit = ((v @ q.T) >= limit) & (batch.column(0).to_numpy()[:, None] != ids[None, :])
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(hit.T.astype(np.int64) @ batch.column(1).to_numpy())], names=["rep", "n"])
-
-    truth = classes.select("rep", "w", "vec").mapInArrow(run, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n"))
-    both = truth.join(counts, "rep", "left").agg(F.sum(F.least("n", F.coalesce("near", F.lit(0)))), F.sum("n")).first()
-    return both[0] / both[1] if both[1] else 1.0
+            v = np.asarray(batch.column(2).flatten(), np.float64).reshape(-1, width)
+            rep, w = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for a in range(0, len(v), QUERIES):
+                i, j = np.nonzero(unit(v[a : a + QUERIES]) @ q.T >= limit)
+                other = rep[a + i] != ids[j]
+                np.add.at(total, j[other], w[a + i[other]])
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(total[some])], names=["rep", "n"])
+
+    return classes.select("rep", "w", "vec").mapInArrow(run, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n")).collect()

@@ -22,6 +22,7 @@ from sketchweave.llm.packing import pack_documents, pack_examples
 from sketchweave.llm.quality import classify
 from sketchweave.llm.queries import op1_scan_licenses, tokenizer_file
 from sketchweave.llm.suffix_dedup import dedup_substrings
+from sketchweave.llm import vector_dedup as vd
 from sketchweave.llm.vector_dedup import near_vectors
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, score string, tokens string, size string"
@@ -250,6 +251,29 @@ def test_vectors(spark):
     assert near_vectors(df.limit(0)).count() == 0 and near_vectors(df.where("vec_id = 403")).first().n_links == 0
 
 
+def test_vector_audit_sees_rare_misses(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((3000, 32))
+    x[1:120:2] = x[0:120:2]
+    x[1:120:2, 0] += 0.01
+    classes = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(x)], "rep long, w long, vec array<double>")
+    # Of 60 pairs every second one is missed from both ends.
+    counts = spark.createDataFrame([(i, 1) for i in range(120) if i % 4 < 2], "rep long, near long")
+    assert vd.audited(classes, counts, 32, 0.95, vd.AUDIT) == 0.5
+
+
+def test_vectors_are_compared_exactly_when_recall_stays_low(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.standard_normal((300, 16)), 4, axis=0) + 0.03 * rng.standard_normal((1200, 16))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    once, exact = vd._search_once, []
+    monkeypatch.setattr(vd, "audited", lambda *_: 0.0)
+    monkeypatch.setattr(vd, "_search_once", lambda *a: exact.append(a[8]) or once(*a))
+    got = {r.vec_id: r.n_links for r in near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    assert exact == [False, True]
+    assert [got[i] for i in range(1200)] == ((u @ u.T >= 0.95).sum(axis=1) - 1).tolist()
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>A, b.</p></article>"), (2, None, None), (None, "v", "")], "page_id long, url string, html string").withColumn("text", F.lit("x"))
     assert sorted((str(r.page_id), r.url, r.text, r.n_chars) for r in extract_pages(df).collect()) == [("1", "u", "A, b.", 5), ("2", None, "", 0), ("None", "v", "", 0)]
