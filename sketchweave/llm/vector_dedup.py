@@ -14,8 +14,10 @@ shards, and over all of them at last by exact blocks instead of graphs.
 A vector counts in its home shard only, so no pair has to be removed again, and
 links leave a task as counts and as a spanning forest.
 
-Defined results: vectors that are null, of another width than most, zero or hold
-a null or non-finite component have no links and are their own component;
+Vectors are compared with those of their own width, one width after the other.
+
+Defined results: vectors that are null, zero or hold a null or non-finite
+component have no links and are their own component;
 repeated rows are links of each other; a null id has no row number to be found
 by, keeps its count of links and takes the component of its class; an empty
 table gives an empty result; extra columns are ignored.
@@ -163,30 +165,29 @@ def vectors(column, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, width)
 
 
-def clean(rows: DataFrame, width: int) -> DataFrame:
+def clean(rows: DataFrame) -> DataFrame:
     """rows: id, vec.  Adds ok; vec as an array of doubles."""
     vec = F.col("vec").cast("array<double>")
     bad = F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    ok = vec.isNotNull() & (F.size(vec) == width) & ~bad & F.exists(vec, lambda x: x != 0)
+    ok = vec.isNotNull() & ~bad & F.exists(vec, lambda x: x != 0)
     return rows.select("id", F.transform(vec, lambda x: x + F.lit(0.0)).alias("vec"), F.coalesce(ok, F.lit(False)).alias("ok"))
 
 
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", limit: float = RANGE, visits: int = VISITS, audit: int = AUDIT) -> DataFrame:
     """One row per input row: id, n_links, component_id, kept."""
-    spark, buckets = df.sparkSession, shuffle_width(df.sparkSession)
+    buckets = shuffle_width(df.sparkSession)
     rows = pick(df, id=id_col, vec=vec_col).select(F.col("id").cast("long").alias("id"), "vec")
-    widths = rows.where("vec IS NOT NULL").groupBy(F.size("vec").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    width = widths[0] if widths else 0
-    rows = clean(rows, width)
+    rows = clean(rows)
     classes = materialise(rows.where("ok").groupBy("vec").agg(F.min("id").alias("low"), F.count("*").alias("w")).withColumn("rep", F.coalesce("low", -F.abs(F.xxhash64("vec")) - 1)), "vector-classes")
-    n = classes.count()
-    if n:
-        counts, edges = _search(classes, n, width, limit, visits, buckets, audit)
+    sizes = classes.groupBy(F.size("vec").alias("width")).count().orderBy("width").collect()
+    tops = classes.select("vec", (F.col("w") - 1).alias("n_links"), F.col("rep").alias("component")).limit(0)
+    for width, n in sizes:
+        one = classes.where(F.size("vec") == width) if len(sizes) > 1 else classes
+        counts, edges = _search(one, n, width, limit, visits, buckets, audit)
         found = components(edges)
-        named = classes.select("vec", "rep", "w").join(counts, "rep", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-        tops = named.select("vec", (F.coalesce("near", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    else:
-        tops = classes.select("vec", F.col("w").alias("n_links"), F.col("rep").alias("component"))
+        named = one.select("vec", "rep", "w").join(counts, "rep", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+        part = named.select("vec", (F.coalesce("near", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+        tops = part if len(sizes) == 1 else tops.unionByName(part)
     good = rows.where("ok").join(tops, "vec").select("id", "n_links", F.col("component").alias("component_id"))
     bad = rows.where("NOT ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return good.unionByName(bad).select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -274,6 +274,15 @@ def test_vectors_are_compared_exactly_when_recall_stays_low(spark, monkeypatch):
     assert [got[i] for i in range(1200)] == ((u @ u.T >= 0.95).sum(axis=1) - 1).tolist()
 
 
+def test_vectors_of_every_width_are_compared(spark):
+    rows = [(i, [float(i), 1.0, 2.0, 3.0]) for i in range(5)] + [(5, [1.0, 2.0]), (6, [1.0, 2.0]), (7, [2.0, 4.1]), (8, [1.0, -1.0]), (9, [1.0]), (10, [1.0]), (11, []), (12, [])]
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows if v}
+    links = {i: [j for j in unit if j != i and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.95] for i, _ in rows if i in unit}
+    got = {r.vec_id: r for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert {i: r.n_links for i, r in got.items()} == {i: len(links.get(i, ())) for i, _ in rows}
+    assert [got[i].component_id for i in range(5, 13)] == [5, 5, 5, 8, 9, 9, 11, 12]
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>A, b.</p></article>"), (2, None, None), (None, "v", "")], "page_id long, url string, html string").withColumn("text", F.lit("x"))
     assert sorted((str(r.page_id), r.url, r.text, r.n_chars) for r in extract_pages(df).collect()) == [("1", "u", "A, b.", 5), ("2", None, "", 0), ("None", "v", "", 0)]
