@@ -1,8 +1,9 @@
 """Connected components by alternating large-star and small-star steps on an edge table.
 
-Minima are pre-aggregated before every shuffle and joined back to the edges, so
-a hub costs its edges and no task holds a whole neighbourhood.  Every round is a
-table in shared storage; the one before it is deleted.
+Minima are pre-aggregated before every shuffle and stored before they are joined
+back, so that the join reads plain shuffles on both sides and adaptive execution
+can split a hub's edges over tasks.  Every round is a table in shared storage;
+the one before it is deleted.
 """
 
 from __future__ import annotations
@@ -10,25 +11,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import delete, new_path
+from .common import Scratch, delete
 
 ROUNDS = 60
 
 
-def _star(edges: DataFrame) -> DataFrame:
+def _star(edges: DataFrame, scratch: Scratch) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    low = scratch.table(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "large-star")
     large = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b").distinct()
-    low = large.groupBy("a").agg(F.min("b").alias("m"))
-    joined = large.join(low, "a")
-    small = joined.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    large = scratch.table(large, "large-edges")
+    low = scratch.table(large.groupBy("a").agg(F.min("b").alias("m")), "small-star")
+    small = large.join(low, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return small.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """edges: a, b (no nulls).  One row per node of an edge: node, component (its smallest node)."""
     spark = edges.sparkSession
-    last, path = None, new_path(spark, "components")
+    scratch = scratch or Scratch(spark, "components")
+    last, path = None, scratch.new("components")
     edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct().write.parquet(f"{path}/0")
     now = spark.read.parquet(f"{path}/0")
     for i in range(1, ROUNDS + 1):
@@ -38,7 +40,9 @@ def components(edges: DataFrame) -> DataFrame:
         last = sign
         if not sign[0]:
             break
-        _star(now).write.parquet(f"{path}/{i}")
+        step = Scratch(spark, "star")
+        _star(now, step).write.parquet(f"{path}/{i}")
+        delete(step.path, spark)
         if i > 1:
             delete(f"{path}/{i - 1}", spark)
         now = spark.read.parquet(f"{path}/{i}")

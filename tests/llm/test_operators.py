@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sketchweave.llm import exact_dedup as ed
+from sketchweave.llm import jaccard_join as jj
 from sketchweave.llm.components import components
 from sketchweave.llm.exact_dedup import exact_dedup
 from sketchweave.llm.html_extract import extract, extract_pages
@@ -208,28 +209,69 @@ def test_substrings(spark, docs):
     assert dedup_substrings(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("width,percent", [(4, 85), (5, 80), (1, 50)])
-def test_jaccard(spark, docs, width, percent):
-    rows = pairs(docs)
+def jaccard_brute(rows, width, percent):
+    """n and component of every row of (id, text): rows link, and the smallest id that isn't null names a component."""
 
     def shingles(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", fold(t))
         return {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else ({tuple(w)} if w else set())
 
-    sets = {i: shingles(t) for i, t in rows if i is not None}
-    parent = {i: i for i in sets}
+    sets, parent = [shingles(t) for _, t in rows], list(range(len(rows)))
     root = lambda x: x if parent[x] == x else root(parent[x])
-    for a in sets:
-        for b in sets:
-            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
-                x, y = root(a), root(b)
-                parent[max(x, y)] = min(x, y)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs, width=width, percent=percent).collect()}
-    got.pop(None)
-    assert got == {i: (len(s), root(i)) for i, s in sets.items()}
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and root(a) != root(b) and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                parent[root(a)] = root(b)
+    low = defaultdict(list)
+    for k, (i, _) in enumerate(rows):
+        low[root(k)].append(i)
+    name = {k: min((i for i in ids if i is not None), default=None) for k, ids in low.items()}
+    return Counter((i, len(s), name[root(k)] if s else i) for k, ((i, _), s) in enumerate(zip(rows, sets)))
+
+
+def jaccard_rows(df, **options):
+    return Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(df, **options).collect())
+
+
+@pytest.mark.parametrize("width,percent", [(4, 85), (5, 80), (1, 50)])
+def test_jaccard(spark, docs, width, percent):
+    assert jaccard_rows(docs, width=width, percent=percent) == jaccard_brute(pairs(docs), width, percent)
     assert jaccard_components(empty(spark)).count() == 0
 
 
+def test_jaccard_links_rows_without_id_and_repeated_ids(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(7, text), (None, text + " x"), (5, text + " x y"), (None, "a lone row of six words"), (5, text), (9, text + " z"), (9, "other words of another text here"), (None, None), (None, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert jaccard_rows(df) == jaccard_brute(rows, 4, 85)
+
+
+@pytest.mark.parametrize("members", [2, 5, 1000])
+def test_jaccard_families_over_many_blocks(spark, monkeypatch, members):
+    """Stars, chains, and relatives just under the similarity, all sharing a line."""
+    rng = random.Random(11)
+    monkeypatch.setattr(jj, "MEMBERS", members)
+    monkeypatch.setattr(jj, "VISITORS", 3)
+    monkeypatch.setattr(jj, "BLOCK", 6000)
+    words = [f"{rng.choice('abcde')}{i}" for i in range(900)]
+    line, texts = [rng.choice(words) for _ in range(9)], []
+    for size, changes in ((30, 1), (30, 2), (25, 3), (12, 0)):
+        base = [rng.choice(words) for _ in range(90)]
+        for k in range(size):
+            w = list(base)
+            for _ in range(changes):
+                w[rng.randrange(90)] = f"n{rng.randrange(10**6)}"
+            texts.append(" ".join(line + w))
+    chain = [rng.choice(words) for _ in range(80)]
+    texts += [" ".join(line + chain[3 * k :] + [f"c{j}" for j in range(3 * k)]) for k in range(12)]
+    texts += [" ".join(line + [rng.choice(words) for _ in range(40)]) for _ in range(40)]
+    rows = [(i if i % 17 else None, t) for i, t in enumerate(texts)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for width, percent in ((4, 85), (5, 80)):
+        assert jaccard_rows(df, width=width, percent=percent) == jaccard_brute(rows, width, percent)
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(7)
     centres = rng.standard_normal((40, 16))
