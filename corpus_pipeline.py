@@ -1,8 +1,9 @@
 """A corpus pipeline over ``documents``.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor
-kept; all but the last return the columns of documents.  Rows are matched by
-doc_id, null-safely; rows repeated with one doc_id share its decision.
+kept; all but the last return the columns of documents.  Decisions are made for
+rows, by a number that every row has within a stage: rows repeated with one
+doc_id, or without one, are rows of their own, and of equal texts one row stays.
 """
 
 from __future__ import annotations
@@ -22,10 +23,14 @@ from sketchweave.llm.queries import tokenizer_file
 SHINGLE, SIMILARITY = 5, 80
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``ids``."""
-    ids = ids.select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept_id"]), "left_semi")
+def _numbered(docs: DataFrame) -> DataFrame:
+    """With a number of its own for every row, the same in every scan of the stage's input."""
+    return docs.withColumn("_row", F.monotonically_increasing_id())
+
+
+def _only(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of numbered ``docs`` whose number is in ``rows`` (_row)."""
+    return docs.join(rows.select("_row"), "_row", "left_semi").drop("_row")
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,21 +40,25 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest doc_id stays."""
-    return _only(docs, exact_dedup(docs, keep="max").where("kept"))
+    """Of equal texts, the row with the largest doc_id stays (of equal ids, the last one)."""
+    docs = _numbered(docs)
+    keyed = docs.select(F.struct("doc_id", "_row").alias("key"), "text")
+    return _only(docs, exact_dedup(keyed, id_col="key", keep="max").where("kept").select("key._row"))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked texts, the one with the smallest doc_id stays."""
-    groups = jaccard_components(docs, width=SHINGLE, percent=SIMILARITY)
-    return _only(docs, groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """Of linked texts, the first row stays."""
+    docs = _numbered(docs)
+    groups = jaccard_components(docs, id_col="_row", width=SHINGLE, percent=SIMILARITY)
+    return _only(docs, groups.where("_row = component_id"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
-    copies = mix(docs).where("copies > 0").select(F.col("doc_id").alias("_mixed_id"), "copies")
-    placed = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_mixed_id"]))
-    return placed.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*[docs[c] for c in docs.columns])
+    """Every row as often as the mix takes it."""
+    columns, docs = docs.columns, _numbered(docs)
+    copies = mix(docs, id_col="_row").where("copies > 0").select("_row", "copies")
+    placed = docs.join(copies, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return placed.select(*columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
