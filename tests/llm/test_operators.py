@@ -343,6 +343,16 @@ def test_pages_keep_all_content():
     assert extract(f"<body><nav><a>Home</a></nav><div><a>Home</a></div><p>{long}</p><p>{short}</p><footer>End</footer></body>") == lines(long, short)
 
 
+def test_pipeline_mixes_rows_of_one_id(spark):
+    import corpus_pipeline
+
+    rows = [(i, "w " * 10, "en", "abc"[k], 1) for k, n in enumerate((60, 3, 3)) for i in [None, 7, 7][: min(n, 3)] * (n // 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter(r.source for r in corpus_pipeline.mixed(spark, docs, "").collect())
+    want = {r.source: r.n for r in mix(docs).groupBy("source").agg(F.sum("copies").alias("n")).collect()}
+    assert got == want and sum(got.values()) > 60 * 2 / 3
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     import corpus_pipeline
 
@@ -351,15 +361,21 @@ def test_pipeline_stages(spark, docs, tmp_path):
     spark.createDataFrame(rows, "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
     now = docs.select(*columns)
+    # Repeated rows, rows of one doc_id with different texts, and copies and near copies without one.
+    rng = random.Random(2)
+    text = " ".join(rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(80))
+    odd = [(900, "row of one id " * 9), (900, "row of one id " * 9), (901, f"first {text} end"), (901, "other text of the same id"), (None, f"First {text} end"), (None, f"first {text} END too")]
+    now = now.unionByName(spark.createDataFrame([(*r, "en", "a", 1) for r in odd], now.schema))
     kept = []
     for _, stage in corpus_pipeline.STAGES[:-1]:
         now = stage(spark, now, str(tmp_path))
         assert now.columns == columns
         now = spark.createDataFrame(now.collect(), now.schema)
         kept.append([(r.doc_id, r.text) for r in now.collect()])
-    assert Counter(kept[0]) == Counter(pairs(docs))
-    assert len(kept[1]) == len({fold(t) for _, t in kept[0]})
-    assert len({i for i, _ in kept[2]}) == len(kept[2]) < len(kept[1])
-    assert set(kept[3]) <= set(kept[2])
+    assert Counter(kept[0]) == Counter([*pairs(docs), *odd])
+    assert len(kept[1]) == len({fold(t) for _, t in kept[1]}) == len({fold(t) for _, t in kept[0]})
+    near = [t for _, t in kept[2] if text in (t or "")]
+    assert len(near) == 1 and len({t for _, t in kept[2]}) == len(kept[2]) < len(kept[1])
+    assert set(kept[3]) <= set(kept[2]) and max(Counter(kept[3]).values()) <= 3
     packed = corpus_pipeline.STAGES[-1][1](spark, now, str(tmp_path)).collect()
     assert Counter(r.doc_id for r in packed if r.start == 0) == Counter(i for i, _ in kept[3])
