@@ -3,12 +3,19 @@
 Text is gathered in blocks, each under its root-to-leaf tag path.  Per path the
 text length outside links and the punctuation are summed; both ratios (per
 block) are smoothed over neighbouring paths in page order, fused by their
-product and held against a threshold.  The content nodes are the blocks of the
-deepest element that holds every block on a path over the threshold (an
-enclosing article or main element if there is one), without the elements that
-never belong to an article.  Paths that are nearly all links are left out only
-before the first and after the last block over the threshold, and never inside
-an article or main element.
+product and held against a threshold.  The blocks on a path over the threshold
+that are no mere links or labels are the content nodes.  They are returned with
+what lies between them and what stands in the same container at either end (a
+title, a last short line), so nothing of an article is lost for being short; in
+an article or main element that holds content nodes, every block is content.
+
+Left out are elements whose name says that they are no article (menus, sidebars,
+footers, forms' controls, scripts), and elements whose class or role says so,
+unless they hold most of the page's text: a page may stand in one form, and a
+class may name a neighbour.  Of a header only its headings stay, where it is the
+header of the content and not of the page.
+
+Work and memory are linear in the page, however deep its elements.
 
 Defined results: null, empty and text-less pages give an empty text; markup
 that isn't closed ends with the page; repeated rows are extracted alike; a null
@@ -32,10 +39,16 @@ RAW = frozenset("script style textarea title noscript iframe template xmp noembe
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-NEVER = frozenset("head nav header footer aside form menu dialog button select option input label svg math canvas audio video object applet map".split())
+NEVER = frozenset("head nav footer aside menu dialog button select option input label svg math canvas audio video object applet map".split())
 CLASS_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar side-bar menu nav navbar navigation breadcrumb breadcrumbs header masthead footer foot comment comments commentlist disqus reply replies cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget toolbar pagination pager skip".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer foot comment comments commentlist disqus reply replies cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations widget toolbar pagination pager skip".split()
 )
+HEADER_WORDS, COMMENT_WORDS = frozenset("header masthead".split()), frozenset("comment comments commentlist disqus reply replies".split())
+CONTENT_WORDS = frozenset("entry post article content".split())
+#: A class that starts so tells of a neighbour, or of none.
+ABOUT_OTHERS = frozenset("has have no not with without hide show is js".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+INNER = HEADINGS | frozenset("p li ul ol dl dt dd td th tr table tbody thead tfoot caption blockquote pre figure figcaption details summary hgroup address center header dir".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 CLOSES_P = BLOCK - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -44,36 +57,58 @@ STOPS = frozenset("ul ol dl table div section article aside nav form main body".
 
 TAG = re.compile(r"""<!--|<(/?)([a-zA-Z][^\s/>]*)((?>"[^"]*"|'[^']*'|[^"'>]|["'])*+)>|<[!?/][^>]*>?""")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-WORD = re.compile(r"[A-Za-z]+(?:-[A-Za-z]+)*")
+WORD = re.compile(r"[a-z]+")
 SPACE = re.compile(r"\s+")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
-SPAN, KEEP, LINKS = 1, 0.25, 0.8
+#: Neighbouring paths that are smoothed over, the threshold as a share of the best path's score, links' share of a
+#: mere list of links, characters of a block that counts without punctuation, and a wrapper's least share of the text.
+SPAN, KEEP, LINKS, LABEL, WRAPPER = 1, 0.25, 0.8, 40, 0.5
+#: Kinds of elements: content, hidden for good, aside unless it wraps the page, reader comments, header.
+PLAIN, HIDDEN, ASIDE, COMMENTS, HEADER = range(5)
 
 
-def aside(tag: str, attributes: str) -> bool:
-    """Whether an element never belongs to the main text."""
+def kind_of(tag: str, attributes: str) -> tuple[int, bool]:
+    """Kind of an element, and whether its class names an article's part."""
     if tag in NEVER:
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        found = ATTRIBUTE.findall(attributes) if attributes and tag == "article" else ()
-        return any("comment" in WORD.findall((a or b or c).lower()) for _, a, b, c in found)
+        return HIDDEN, False
+    kind = ASIDE if tag == "form" else HEADER if tag == "header" else PLAIN
+    if not attributes or tag in ("html", "body", "main"):
+        return kind, False
+    part = False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
-            return True
-        if name in ("class", "id") and not CLASS_WORDS.isdisjoint(y for x in WORD.findall(value) for y in (x, *x.split("-"))):
-            return True
-    return False
+        if name == "hidden" or name == "aria-hidden" and value == "true":
+            return HIDDEN, False
+        if name == "role" and value in ROLES and tag != "article":
+            kind = max(kind, ASIDE)
+        if name in ("class", "id"):
+            for token in value.split():
+                words = WORD.findall(token)
+                if not words or words[0] in ABOUT_OTHERS:
+                    continue
+                ends = {words[0], words[-1]}
+                part = part or not CONTENT_WORDS.isdisjoint(words)
+                if ends & COMMENT_WORDS:
+                    kind = COMMENTS
+                elif tag == "article" or kind == COMMENTS:
+                    continue
+                elif ends & HEADER_WORDS:
+                    kind = HEADER
+                elif ends & CLASS_WORDS and kind != HEADER:
+                    kind = ASIDE
+    return kind, part
 
 
 class Page:
-    """Blocks of a page: text, characters in links, path number and chain of elements."""
+    """Elements (tag, parent, kind, whether named after an article's part) and blocks (text, characters in links, path, element)."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, int, int, tuple[int, ...]]] = []
-        self.paths: dict[tuple[str, ...], int] = {}
-        self.elements: list[str] = []
-        self.stack: list[tuple[str, int, bool]] = []
+        self.blocks: list[tuple[str, int, int, int]] = []
+        self.paths: dict[tuple[int, str], int] = {(-1, ""): 0}
+        self.tags, self.parents, self.kinds, self.parts = [""], [-1], [PLAIN], [False]
+        #: Open elements: tag, number of the nearest block element, its path, whether it hides.
+        self.stack: list[tuple[str, int, int, bool]] = []
+        self.open_tags: dict[str, int] = {}
         self.hidden, self.links = 0, 0
         self.words: list[str] = []
         self.linked = 0
@@ -83,18 +118,20 @@ class Page:
         if self.words:
             text = SPACE.sub(" ", html.unescape("".join(self.words))).strip()
             if text:
-                chain = [e for e in self.stack if e[0] in BLOCK]
-                path = self.paths.setdefault(tuple(e[0] for e in chain), len(self.paths))
-                self.blocks.append((text, min(self.linked, len(text)), path, tuple(e[1] for e in chain)))
+                _, element, path, _ = self.stack[-1] if self.stack else ("", 0, 0, False)
+                self.blocks.append((text, min(self.linked, len(text)), path, element))
         self.words, self.linked = [], 0
 
     def pop(self) -> None:
-        tag, _, hides = self.stack.pop()
+        tag, _, _, hides = self.stack.pop()
+        self.open_tags[tag] -= 1
         self.hidden -= hides
         self.links -= tag == "a"
 
     def close(self, names: frozenset | set, stops: frozenset) -> None:
         """Closes the nearest open element of these names, unless one of ``stops`` is nearer."""
+        if not any(self.open_tags.get(n) for n in names):
+            return
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] in names:
                 while len(self.stack) > i:
@@ -108,10 +145,16 @@ class Page:
             self.close({"p"}, STOPS)
         if tag in CLOSED_BY:
             self.close(CLOSED_BY[tag], STOPS)
-        hides = aside(tag, attributes)
-        self.stack.append((tag, len(self.elements), hides))
-        self.elements.append(tag)
-        self.hidden += hides
+        kind, part = kind_of(tag, attributes)
+        _, element, path, _ = self.stack[-1] if self.stack else ("", 0, 0, False)
+        if tag in BLOCK or kind:
+            # An inline element of its own kind stands for itself too.
+            self.tags.append(tag), self.parents.append(element), self.kinds.append(kind), self.parts.append(part)
+            element = len(self.tags) - 1
+            path = self.paths.setdefault((path, tag), len(self.paths))
+        self.stack.append((tag, element, path, kind == HIDDEN))
+        self.open_tags[tag] = self.open_tags.get(tag, 0) + 1
+        self.hidden += kind == HIDDEN
         self.links += tag == "a"
 
     def text(self, raw: str) -> None:
@@ -140,10 +183,9 @@ class Page:
             elif tag == "br":
                 self.text("\n")
             if m[1]:
-                if any(e[0] == tag for e in self.stack):
-                    self.close({tag}, frozenset())
+                self.close({tag}, frozenset())
             elif tag in RAW:
-                stop = re.compile(f"</{tag}\\b[^>]*>?", re.I).search(source, at)
+                stop = RAW_END[tag].search(source, at)
                 at = stop.end() if stop else end
             elif tag not in VOID:
                 self.open(tag, m[3])
@@ -153,48 +195,90 @@ class Page:
         self.text(source[at:])
         self.flush()
 
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Per element, the sum over the blocks in it; values: per block."""
+        total = [0.0] * len(self.tags)
+        for (*_, element), v in zip(self.blocks, values):
+            total[element] += v
+        for e in range(len(self.tags) - 1, 0, -1):
+            total[self.parents[e]] += total[e]
+        return np.array(total)
+
+    def nearest(self, use) -> list[int]:
+        """Per element, the nearest one from it upwards that ``use`` holds for, -1 without one."""
+        out: list[int] = []
+        for e, parent in enumerate(self.parents):
+            out.append(e if use(e) else out[parent] if parent >= 0 else -1)
+        return out
 
-def content_paths(page: Page) -> np.ndarray:
-    """Fused score of each path over the threshold."""
-    n = len(page.paths)
-    size, marks, blocks = np.zeros(n), np.zeros(n), np.zeros(n)
-    for text, linked, path, _ in page.blocks:
-        size[path] += len(text) - linked
-        marks[path] += len(PUNCTUATION.findall(text)) if linked < len(text) else 0
-        blocks[path] += 1
-    window = np.ones(2 * SPAN + 1) / (2 * SPAN + 1)
-    smooth = lambda x: x / 2 + np.convolve(x, window, mode="full")[SPAN : SPAN + n] / 2
-    fused = np.sqrt(smooth(size / blocks) * (1 + smooth(marks / blocks))) * np.sqrt(size)
-    return (fused > 0) & (fused >= KEEP * fused.max())
+
+RAW_END = {tag: re.compile(f"</{tag}\\b[^>]*>?", re.I) for tag in RAW}
+
+
+def content_paths(page: Page, size: np.ndarray, use: np.ndarray) -> np.ndarray:
+    """Whether each path is over the threshold; size: characters outside links of each block, use: blocks that count."""
+    first = {}
+    for i in np.flatnonzero(use).tolist():
+        first.setdefault(page.blocks[i][2], len(first))
+    n = len(first)
+    length, marks, blocks = np.zeros(n), np.zeros(n), np.zeros(n)
+    for i in np.flatnonzero(use).tolist():
+        text, linked, path, _ = page.blocks[i]
+        k = first[path]
+        length[k] += size[i]
+        marks[k] += len(PUNCTUATION.findall(text)) if linked < len(text) else 0
+        blocks[k] += 1
+    good = np.zeros(len(page.paths), bool)
+    if n:
+        window = np.ones(2 * SPAN + 1) / (2 * SPAN + 1)
+        smooth = lambda x: x / 2 + np.convolve(x, window, mode="full")[SPAN : SPAN + n] / 2
+        fused = np.sqrt(smooth(length / blocks) * (1 + smooth(marks / blocks))) * np.sqrt(length)
+        good[list(first)] = (fused > 0) & (fused >= KEEP * fused.max())
+    return good
 
 
 def extract(source: str | None) -> str:
     if not source:
         return ""
     page = Page(source)
-    if not page.blocks:
+    blocks = page.blocks
+    if not blocks:
         return ""
-    good = content_paths(page)
-    found = [i for i, (*_, path, _) in enumerate(page.blocks) if good[path]]
-    if found:
-        first, last = found[0], found[-1]
-        # The elements that hold every block on a good path; chains run from the root.
-        above = page.blocks[first][3]
-        for i in found:
-            above = tuple(a for a, b in zip(above, page.blocks[i][3]) if a == b)
-        if len(above) > 1 and (page.elements[above[-1]] in ("p", "li", "td", "blockquote", "pre") or page.elements[above[-1]][0] == "h"):
-            above = above[:-1]
-    else:
-        first, last, above = len(page.blocks), -1, ()
-    node = next((e for e in reversed(above) if page.elements[e] in MAIN), None)
-    if node is not None:
-        return "\n".join(t for t, *_, chain in page.blocks if node in chain)
-    inside = [(i, *b) for i, b in enumerate(page.blocks) if not above or above[-1] in b[3]]
-    size, linked = np.zeros(len(page.paths)), np.zeros(len(page.paths))
-    for _, text, k, path, _ in inside:
-        size[path] += len(text)
-        linked[path] += k
-    return "\n".join(t for i, t, _, p, chain in inside if first <= i <= last or linked[p] <= LINKS * size[p] or any(page.elements[e] in MAIN for e in chain))
+    at = np.array([e for *_, e in blocks])
+    size = np.array([len(t) - linked for t, linked, *_ in blocks], float)
+    # Elements that say they are no article, but hold most of the text, are wrappers.
+    inside, whole = page.sums(size), size.sum()
+    aside = lambda e: page.kinds[e] == COMMENTS or page.kinds[e] in (ASIDE, HEADER) and inside[e] < WRAPPER * whole
+    over = np.array(page.nearest(aside))[at]
+    use = over < 0
+    good = content_paths(page, size, use)
+    node = np.array([use[i] and bool(good[p]) and linked <= LINKS * len(t) for i, (t, linked, p, _) in enumerate(blocks)])
+    telling = np.array([bool(PUNCTUATION.search(t)) or len(t) >= LABEL for t, *_ in blocks])
+    node = node & telling if (node & telling).any() else node
+    if not node.any():
+        # Nothing but links or asides: what is no link.
+        return "\n".join(t for (t, linked, *_), ok in zip(blocks, use) if ok and linked <= LINKS * len(t))
+    found = np.flatnonzero(node)
+    first, last = int(found[0]), int(found[-1])
+    held = page.sums(node)
+    region = max(e for e in range(len(page.tags)) if held[e] == len(found))
+    main = page.nearest(lambda e: page.tags[e] in MAIN and held[e] > 0)
+    container = page.nearest(lambda e: page.tags[e] not in INNER)
+    body = page.nearest(lambda e: e == region)
+    ends = {container[at[first]], container[at[last]]}
+    out = []
+    for i, (text, linked, _, e) in enumerate(blocks):
+        if over[i] >= 0:
+            # Of a header of the content, the headings.
+            h = int(over[i])
+            parent = page.parents[h]
+            ours = main[parent] >= 0 or page.parts[h] and body[parent] >= 0 or container[parent] == container[region] and page.tags[container[region]] not in ("", "html", "body")
+            keep = page.kinds[h] == HEADER and page.tags[e] in HEADINGS and ours
+        else:
+            keep = main[e] >= 0 or first <= i <= last and body[e] >= 0 or container[e] in ends and linked <= LINKS * len(text) or page.tags[e] in HEADINGS and body[e] >= 0
+        if keep:
+            out.append(text)
+    return "\n".join(out)
 
 
 def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -343,6 +344,63 @@ def test_pages_keep_all_content():
     assert extract(f"<body><nav><a>Home</a></nav><div><a>Home</a></div><p>{long}</p><p>{short}</p><footer>End</footer></body>") == lines(long, short)
 
 
+def test_pages_with_wrappers_headers_and_menus():
+    long, short = ("Some words, and more of them. " * 24).strip(), ("Other words, and a few more. " * 10).strip()
+
+    def same(page, *blocks):
+        assert extract(page) == "\n".join(blocks)
+
+    same(f'<body><div class="content has-sidebar"><p>{long}</p><p>{short}</p></div></body>', long, short)
+    same(f'<body><div class="post no-ads"><p>{long}</p></div></body>', long)
+    same(f'<body><form id="aspnetForm"><div><p>{long}</p></div><input value=x></form></body>', long)
+    same(f'<body><div class="post"><div class="entry-header"><h1>Title</h1><span>by me</span></div><p>{long}</p><p>{short}</p></div></body>', "Title", long, short)
+    same(f'<body><div id=page><header><h1>Site</h1></header><div id="content"><div class="entry-header"><h1>Title</h1></div><p>{long}</p></div></div></body>', "Title", long)
+    same(f"<body><div><p>Home</p><p>About</p></div><div><h1>Title</h1><p>{long}</p><p>Short</p></div><div><p>Imprint</p></div></body>", "Title", long, "Short")
+    same(f"<body><div><p><a>Home</a></p><p><a>About</a></p></div><div><p>{long}</p><p>{short}</p></div></body>", long, short)
+    same(f"<header><h1>Site</h1></header><article><header><h1>Title</h1></header><p>{long}</p></article><div class=comments><p>{long}</p><p>{long}</p></div>", "Title", long)
+    same(f'<article><p>{long}</p><form><p>Subscribe now.</p></form><div class="ad">Buy, now.</div><p>Ok</p></article>', long, "Ok")
+    same(f'<div class="notice">Cookies, we use them.</div><div><p>{long}</p></div><aside>{short}</aside>', long)
+
+
+@pytest.mark.parametrize("page", ["<div>x. " * 8000, "<b><p>x. " * 8000, "<span>x. " * 8000 + "</span>" * 8000])
+def test_deep_pages_take_linear_time(page):
+    begin = time.monotonic()
+    assert extract(page).count("x.") == 8000 and time.monotonic() - begin < 1
+
+
+def test_pages_against_a_plain_parser(spark):
+    """Where an article element holds the text, all of it comes out, as the standard library's parser reads it."""
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.inside, self.text = False, [""]
+
+        def handle_starttag(self, tag, _):
+            self.inside = self.inside or tag == "article"
+            if tag in ("p", "h1", "article"):
+                self.text.append("")
+            elif tag == "br":
+                self.text[-1] += " "
+
+        def handle_endtag(self, tag):
+            if tag in ("p", "h1", "article"):
+                self.text.append("")
+            self.inside = self.inside and tag != "article"
+
+        def handle_data(self, data):
+            if self.inside:
+                self.text[-1] += data
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")
+    got = {r.page_id: r.text for r in extract_pages(pages).collect()}
+    for r in pages.collect():
+        plain = Plain()
+        plain.feed(r.html or "")
+        assert got[r.page_id] == "\n".join(x for x in (" ".join(t.split()) for t in plain.text) if x)
+
+
 def test_pipeline_mixes_rows_of_one_id(spark):
     import corpus_pipeline
 
