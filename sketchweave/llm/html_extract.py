@@ -11,8 +11,8 @@ an article or main element that holds content nodes, every block is content.
 
 Left out are elements whose name says that they are no article (menus, sidebars,
 footers, forms' controls, scripts), and elements whose class or role says so,
-unless they hold most of the page's text: a page may stand in one form, and a
-class may name a neighbour.  Of a header only its headings stay, where it is the
+unless they hold the article element or, without one, most of the page's text:
+a page may stand in one form, and a class may name a neighbour.  Of a header only its headings stay, where it is the
 header of the content and not of the page.
 
 Work and memory are linear in the page, however deep its elements.
@@ -204,6 +204,13 @@ class Page:
             total[self.parents[e]] += total[e]
         return np.array(total)
 
+    def above(self, marked: list[bool]) -> list[bool]:
+        """Per element, whether a marked one is in it or is it."""
+        out = list(marked)
+        for e in range(len(self.tags) - 1, 0, -1):
+            out[self.parents[e]] |= out[e]
+        return out
+
     def nearest(self, use) -> list[int]:
         """Per element, the nearest one from it upwards that ``use`` holds for, -1 without one."""
         out: list[int] = []
@@ -246,9 +253,12 @@ def extract(source: str | None) -> str:
         return ""
     at = np.array([e for *_, e in blocks])
     size = np.array([len(t) - linked for t, linked, *_ in blocks], float)
-    # Elements that say they are no article, but hold most of the text, are wrappers.
+    # Elements that say they are no article, but hold the article element or (without one) most of the text, are wrappers.
     inside, whole = page.sums(size), size.sum()
-    aside = lambda e: page.kinds[e] == COMMENTS or page.kinds[e] in (ASIDE, HEADER) and inside[e] < WRAPPER * whole
+    mains = [page.tags[e] in MAIN and page.kinds[e] == PLAIN and inside[e] > 0 for e in range(len(page.tags))]
+    holds = page.above(mains)
+    wraps = lambda e: holds[e] if any(mains) else inside[e] >= WRAPPER * whole
+    aside = lambda e: page.kinds[e] == COMMENTS or page.kinds[e] in (ASIDE, HEADER) and not wraps(e)
     over = np.array(page.nearest(aside))[at]
     use = over < 0
     good = content_paths(page, size, use)

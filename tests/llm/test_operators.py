@@ -359,6 +359,7 @@ def test_pages_with_wrappers_headers_and_menus():
     same(f"<body><div><p><a>Home</a></p><p><a>About</a></p></div><div><p>{long}</p><p>{short}</p></div></body>", long, short)
     same(f"<header><h1>Site</h1></header><article><header><h1>Title</h1></header><p>{long}</p></article><div class=comments><p>{long}</p><p>{long}</p></div>", "Title", long)
     same(f'<article><p>{long}</p><form><p>Subscribe now.</p></form><div class="ad">Buy, now.</div><p>Ok</p></article>', long, "Ok")
+    same(f'<div class="ad">{short}</div><article><h1>One.</h1></article>', "One.")
     same(f'<div class="notice">Cookies, we use them.</div><div><p>{long}</p></div><aside>{short}</aside>', long)
 
 
