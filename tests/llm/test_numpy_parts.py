@@ -1,7 +1,7 @@
 """The parts without Spark, against brute force."""
 
-import math
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -105,22 +105,54 @@ def test_open_block_links():
     assert want == {frozenset(j for j in range(30) if root(j) == root(i)) for i in range(30)}
 
 
-def test_forward_sums_all_segmentations():
-    model = langid.fit([("en", "the cat and the other hat of theirs"), ("de", "der hund und die katze mit dem hut")] * 5, tokenizer_file("piece_bpe_32k.model"))
+@pytest.fixture(scope="module")
+def language_model():
+    return langid.fit([("en", "the cat and the other hat of theirs " + "thecat" * 20), ("de", "der hund und die katze mit dem hut " + "derhund" * 30)] * 5, tokenizer_file("piece_bpe_32k.model"))
+
+
+def forward_brute(model, word):
+    """Logarithm of the sum over all segmentations, and the prefix sums, with exact integers as exponents."""
     place = {p: i for i, p in enumerate(model.pieces)}
-    for word in (b" the", b" thehatmitderkatze" * 3):
-        a = [1.0] + [0.0] * len(word)
-        for j in range(1, len(word) + 1):
-            for i in range(max(0, j - langid.LONGEST_PIECE), j):
-                if word[i:j] in place:
-                    a[j] += a[i] * model.probs[place[word[i:j]], 0]
+    a = [np.longdouble(1)] + [np.longdouble(0)] * len(word)
+    for j in range(1, len(word) + 1):
+        for i in range(j):
+            if word[i:j] in place:
+                a[j] += a[i] * np.longdouble(model.probs[place[word[i:j]], 0])
+    return np.log(np.array(a))
+
+
+def test_forward_sums_all_segmentations(language_model):
+    model = language_model
+    assert any(len(p) > 16 for p in model.pieces) and any(b" " in p[1:] for p in model.pieces)
+    words = [b" the", b" thehatmitderkatze" * 3, " представ".encode(), " становника".encode() * 4, b" x" + b"theirs" * 40, b" y" + b"und" * 90]
+    for word in words:
+        want = forward_brute(model, word.replace(b" ", b"q", 0))
         letters = np.frombuffer(word, np.uint8)[None, :]
-        got = langid.forward(model.find().spans(letters), len(word), model.probs)[0, 0]
-        assert got == pytest.approx(math.log(a[-1]), rel=1e-9)
+        assert langid.forward(model.find().spans(letters), len(word), model.probs)[0, 0] == pytest.approx(float(want[-1]), rel=1e-9)
+    arrays = [np.frombuffer(w, np.uint8) for w in words]
+    for word, got, prefixes in zip(words, langid.forward_long(model.find(), arrays, model.probs), langid.forward_long(model.find(), arrays, model.probs, keep=True)):
+        want = forward_brute(model, word)
+        assert got[0] == pytest.approx(float(want[-1]), rel=1e-9)
+        assert prefixes[:, 0] == pytest.approx(want.astype(float), rel=1e-9, abs=1e-9)
     best, score = model.score(pa.array(["the other cat", "die katze", "", None, "123 !!"]))
     assert best.tolist()[:1] == [1] and best.tolist()[1:] == [0, -1, -1, -1] and (score[2:] == 0).all()
 
 
+def test_expected_counts_of_long_words_are_those_of_short_ones(language_model):
+    find, probs = language_model.find(), language_model.probs
+    word = np.frombuffer(b" " + b"thehatundtheirkatze" * 4, np.uint8)
+    one, two = np.zeros_like(probs), np.zeros_like(probs)
+    langid.expected(find.spans(word[None, :]), len(word), probs, np.array([[2.0, 3.0]]), one)
+    langid.expected_long(find, word, probs, np.array([2.0, 3.0]), two)
+    assert np.allclose(one[:-1], two[:-1], rtol=1e-8, atol=1e-12)
+
+
+def test_a_very_long_run_takes_seconds(language_model):
+    begin = time.monotonic()
+    best, score = language_model.score(pa.array(["the cat " + "undderhund" * 100_000, "cat"]))
+    assert best.tolist() == [0, 1] and time.monotonic() - begin < 40
+
+
 def test_quality_model_votes():
     good, bad = "a plain line of prose with many words ", "BUY!! NOW!! $$$ "
     model = quality.fit(pa.array([good * (i + 1) for i in range(20)] + [bad * (i + 1) for i in range(20)]), np.array([1] * 20 + [0] * 20))
