@@ -164,9 +164,10 @@ class Page:
                 self.linked += len(raw)
 
     def read(self, source: str) -> None:
-        at, end = 0, len(source)
+        # No tag ends after the last ">", and a search for its end from every "<" there would take quadratic time.
+        at, end, stop_at = 0, len(source), max(source.rfind(">") + 1, source.rfind("<!--") + 4)
         while at < end:
-            m = TAG.search(source, at)
+            m = TAG.search(source, at, stop_at)
             if not m:
                 break
             self.text(source[at : m.start()])
