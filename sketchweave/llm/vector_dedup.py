@@ -18,9 +18,9 @@ Vectors are compared with those of their own width, one width after the other.
 
 Defined results: vectors that are null, zero or hold a null or non-finite
 component have no links and are their own component;
-repeated rows are links of each other; a null id has no row number to be found
-by, keeps its count of links and takes the component of its class; an empty
-table gives an empty result; extra columns are ignored.
+repeated rows are links of each other; rows with a null id link like others,
+but a component is named by its smallest id that isn't null (null if it has
+none); an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, pick, shuffle_width
+from .common import Scratch, pick, shuffle_width
 from .components import components
 from .jaccard_join import Forest
 
@@ -39,8 +39,8 @@ RANGE = 0.95
 SHARD, CENTROIDS, SPLIT = 512, 4096, 8192
 #: Shards that a vector stands in and searches; sample that centroids are fitted on.
 OVERLAP, VISITS, FIT_ROWS = 2, 4, 20_000
-#: Neighbours considered and kept, pruning factor, width of the search, medoids.
-NEAR, DEGREE, ALPHA, BEAM, MEDOIDS = 48, 16, 1.2, 16, 4
+#: Neighbours considered and kept, pruning factor, width of the search, medoids, members expanded and vectors gathered at a time.
+NEAR, DEGREE, ALPHA, BEAM, MEDOIDS, EXPAND, GATHER = 48, 16, 1.2, 16, 4, 8, 1 << 16
 #: Queries that an audit starts with and stops at, those with links that are enough, and the least recall.
 AUDIT, MOST_AUDITED, ENOUGH, RECALL = 64, 4096, 64, 0.95
 QUERIES = 512
@@ -115,7 +115,8 @@ def reaching(nbr: np.ndarray, start: np.ndarray) -> np.ndarray:
 
 
 def search(q: np.ndarray, x: np.ndarray, nbr: np.ndarray, start: np.ndarray, limit: float) -> np.ndarray:
-    """Greedy search of every query at once; visited members within ``limit`` are always expanded.
+    """Greedy search of every query at once, a few of the best open members each at a time; visited
+    members within ``limit`` are always expanded.
 
     nbr: members x degree, padded with the member itself.  Returns the similarities of visited members, -2 elsewhere.
     """
@@ -126,21 +127,23 @@ def search(q: np.ndarray, x: np.ndarray, nbr: np.ndarray, start: np.ndarray, lim
     s = q @ x[start].T
     seen[:, start] = s
     open_[:, start] = s
-    beam = min(BEAM, m)
+    beam, most = min(BEAM, m), min(EXPAND, m)
     while len(rows):
-        at = open_[rows].argmax(axis=1)
-        best = open_[rows, at]
-        bar = np.partition(seen[rows], m - beam, axis=1)[:, m - beam]
+        waiting = open_[rows]
+        at = np.argpartition(waiting, m - most, axis=1)[:, m - most :]
+        best = np.take_along_axis(waiting, at, axis=1)
+        bar = np.partition(seen[rows], m - beam, axis=1)[:, m - beam, None]
         go = (best > -2) & ((best >= bar) | (best >= limit))
-        rows, at = rows[go], at[go]
-        if not len(rows):
-            break
-        open_[rows, at] = -2
+        of, at = np.repeat(rows, go.sum(axis=1)), at[go]
+        rows = rows[go.any(axis=1)]
+        open_[of, at] = -2
         to = nbr[at]
-        value = np.einsum("nd,nkd->nk", q[rows], x[to])
-        new = seen[rows[:, None], to] <= -2
-        open_[rows[:, None], to] = np.where(new, value, open_[rows[:, None], to])
-        seen[rows[:, None], to] = value
+        of = np.broadcast_to(of[:, None], to.shape)
+        new = seen[of, to] <= -2
+        of, to = of[new], to[new]
+        for a in range(0, len(of), GATHER):
+            i, j = of[a : a + GATHER], to[a : a + GATHER]
+            seen[i, j] = open_[i, j] = np.einsum("nd,nd->n", q[i], x[j])
     return seen
 
 
@@ -176,40 +179,45 @@ def clean(rows: DataFrame) -> DataFrame:
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", limit: float = RANGE, visits: int = VISITS, audit: int = AUDIT) -> DataFrame:
     """One row per input row: id, n_links, component_id, kept."""
     buckets = shuffle_width(df.sparkSession)
+    scratch = Scratch(df.sparkSession, "vectors")
     rows = pick(df, id=id_col, vec=vec_col).select(F.col("id").cast("long").alias("id"), "vec")
     rows = clean(rows)
-    classes = materialise(rows.where("ok").groupBy("vec").agg(F.min("id").alias("low"), F.count("*").alias("w")).withColumn("rep", F.coalesce("low", -F.abs(F.xxhash64("vec")) - 1)), "vector-classes")
+    # Classes have a number of their own, whatever ids they have; rep is stable, as the table is written.
+    equal = rows.where("ok").groupBy("vec").agg(F.min("id").alias("low"), F.count("*").alias("w")).sortWithinPartitions("vec")
+    classes = scratch.table(equal.withColumn("rep", F.monotonically_increasing_id()), "classes")
     sizes = classes.groupBy(F.size("vec").alias("width")).count().orderBy("width").collect()
-    tops = classes.select("vec", (F.col("w") - 1).alias("n_links"), F.col("rep").alias("component")).limit(0)
+    tops = classes.select("vec", "low", (F.col("w") - 1).alias("n_links"), F.col("rep").alias("component")).limit(0)
     for width, n in sizes:
         one = classes.where(F.size("vec") == width) if len(sizes) > 1 else classes
-        counts, edges = _search(one, n, width, limit, visits, buckets, audit)
-        found = components(edges)
-        named = one.select("vec", "rep", "w").join(counts, "rep", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
-        part = named.select("vec", (F.coalesce("near", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+        counts, edges = _search(one, n, width, limit, visits, buckets, audit, scratch)
+        found = components(edges, scratch)
+        named = one.select("vec", "low", "rep", "w").join(counts, "rep", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+        part = named.select("vec", "low", (F.coalesce("near", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
         tops = part if len(sizes) == 1 else tops.unionByName(part)
-    good = rows.where("ok").join(tops, "vec").select("id", "n_links", F.col("component").alias("component_id"))
+    lows = tops.groupBy("component").agg(F.min("low").alias("name"))
+    tops = tops.join(lows, "component").select("vec", "n_links", "name")
+    good = rows.where("ok").join(tops, "vec").select("id", "n_links", F.col("name").alias("component_id"))
     bad = rows.where("NOT ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return good.unionByName(bad).select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return scratch.result(good.unionByName(bad).select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")))
 
 
-def _search(classes: DataFrame, n: int, width: int, limit: float, visits: int, buckets: int, audit: int) -> tuple[DataFrame, DataFrame]:
+def _search(classes: DataFrame, n: int, width: int, limit: float, visits: int, buckets: int, audit: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     spark = classes.sparkSession
     share = min(1.0, FIT_ROWS / n)
-    sample = classes.where(F.pmod(F.xxhash64(F.lit(6), "rep"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("rep", "vec").limit(2 * FIT_ROWS).toArrow().sort_by("rep")
+    sample = classes.where(F.pmod(F.xxhash64(F.lit(6), "vec"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("rep", "vec").limit(2 * FIT_ROWS).toArrow().sort_by("rep")
     x = unit(np.array(sample["vec"].to_pylist() or classes.select("vec").limit(1).toArrow()["vec"].to_pylist(), np.float64))
     cells = centroids_of(x, min(CENTROIDS, -(-n // SHARD), len(x)))
     shared = spark.sparkContext.broadcast(cells)
     exact = False
     while True:
-        counts, edges, recall = _search_once(classes, shared, len(cells), width, limit, min(visits, len(cells)), buckets, audit, exact)
+        counts, edges, recall = _search_once(classes, shared, len(cells), width, limit, min(visits, len(cells)), buckets, audit, exact, scratch)
         if recall >= RECALL or exact:
             return counts, edges
         exact = visits >= len(cells)
         visits *= 2
 
 
-def _search_once(classes, shared, k, width, limit, visits, buckets, audit, exact):
+def _search_once(classes, shared, k, width, limit, visits, buckets, audit, exact, scratch):
     def assign(batches):
         cells = shared.value
         for batch in batches:
@@ -224,7 +232,7 @@ def _search_once(classes, shared, k, width, limit, visits, buckets, audit, exact
                 yield pa.RecordBatch.from_arrays([pa.array(top[:, rank].astype(np.int64)), pa.array(np.full(m, rank), pa.int32()), batch.column(0), batch.column(1), packed], names=["cell", "rank", "rep", "w", "vec"])
 
     placed = classes.select("rep", "w", "vec").mapInArrow(assign, "cell long, rank int, rep long, w long, vec binary")
-    placed = materialise(placed, "vector-shards")
+    placed = scratch.table(placed, "shards")
     # At most CENTROIDS rows, so a broadcast of a bounded size.
     parts = placed.where(F.col("rank") < OVERLAP).groupBy("cell").agg(F.ceil(F.count("*") / F.lit(SPLIT)).cast("long").alias("parts"))
     placed = placed.join(F.broadcast(parts), "cell", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
@@ -290,7 +298,7 @@ def _search_once(classes, shared, k, width, limit, visits, buckets, audit, exact
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.nulls(len(left), pa.int64()), pa.array(right, pa.int64())], names=["a", "n", "b"])
 
     found = by_shard(placed.join(united, "rep", "left").select("shard", "member", "home", "rep", "w", "vec", "near")).mapInArrow(look, "a long, n long, b long")
-    found = materialise(found, "vector-links")
+    found = scratch.table(found, "links")
     counts = found.where("n IS NOT NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("near"))
     return counts, found.where("b IS NOT NULL").select("a", "b"), audited(classes, counts, width, limit, audit)
 
@@ -305,7 +313,7 @@ def audited(classes: DataFrame, counts: DataFrame, width: int, limit: float, siz
     n = classes.count()
     while True:
         share = int(min(1.0, size / max(1, n)) * (1 << 30))
-        picked = classes.where(F.pmod(F.xxhash64(F.lit(11), "rep"), F.lit(1 << 30)) < share).select("rep", "vec").toArrow()
+        picked = classes.where(F.pmod(F.xxhash64(F.lit(11), "vec"), F.lit(1 << 30)) < share).select("rep", "vec").toArrow()
         truth = _true_links(classes, picked, width, limit) if len(picked) else []
         if len(truth) >= ENOUGH or size >= min(n, MOST_AUDITED):
             break

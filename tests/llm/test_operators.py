@@ -294,6 +294,29 @@ def test_vectors(spark):
     assert near_vectors(df.limit(0)).count() == 0 and near_vectors(df.where("vec_id = 403")).first().n_links == 0
 
 
+def test_vectors_without_id_link(spark):
+    rows = [(5, [1.0, 0.0, 0.0]), (None, [1.0, 0.01, 0.0]), (None, [0.0, 0.0, 1.0]), (None, [0.0, 0.0, 1.0]), (7, [0.0, 1.0, 0.0]), (6, [1.0, 0.0, 0.0])]
+    got = Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == Counter([(5, 2, 5, True), (None, 2, 5, False), (None, 1, None, True), (None, 1, None, True), (7, 0, 7, True), (6, 2, 5, False)])
+
+
+def test_vectors_over_many_shards(spark, monkeypatch):
+    """Groups large and small, pairs, chains and single vectors in some 30 shards, against brute force."""
+    monkeypatch.setattr(vd, "SHARD", 100)
+    rng = np.random.default_rng(12)
+    parts = [rng.standard_normal((1200, 24))]
+    for size, count, noise in ((400, 1, 0.05), (40, 8, 0.08), (2, 300, 0.08), (3, 100, 0.1)):
+        parts += [c + noise * rng.standard_normal((size, 24)) for c in rng.standard_normal((count, 24))]
+    x = np.concatenate(parts)[rng.permutation(sum(len(p) for p in parts))]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+    got = {r.vec_id: r for r in near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    found = np.array([got[i].n_links for i in range(len(x))])
+    linked = want > 0
+    assert (found <= want).all() and found.sum() >= 0.95 * want.sum() and (found[linked] / want[linked]).mean() >= 0.95
+    assert all(got[i].component_id <= i for i in range(len(x)))
+
+
 def test_vector_audit_sees_rare_misses(spark):
     rng = np.random.default_rng(8)
     x = rng.standard_normal((3000, 32))
