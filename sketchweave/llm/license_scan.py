@@ -1,14 +1,21 @@
 """Licence scan by a trained paragraph classifier.
 
-A paragraph (a line of text) is described by hashed word 1- to 3-grams; a
-multinomial logistic regression, trained here on variants of notice templates
-and on paragraphs of the corpus, gives the probability of each licence family
-and of no notice.  Probabilities are calibrated by a temperature on held-out
-variants.  A likely notice whose best family falls under the calibrated
-threshold, or that no template of that family confirms, is ``unknown``.
-
-Every paragraph of every whole text is scored; the sample of corpus paragraphs
-for training is bounded (a parameter).
+A paragraph is a line, or a run of lines that were wrapped: a long line that
+doesn't end a sentence goes on in the next one, whatever comment marks they
+begin with.  Paragraphs are described by hashed word 1- to 3-grams; a
+multinomial logistic regression, trained here on variants of notice templates,
+of other licences' notices and on lines of the corpus, gives the probability of
+each licence family, of a licence of no known family, and of no notice.
+Probabilities are calibrated by a temperature on held-out variants.  A notice is
+of its best family if its probability reaches a threshold, calibrated against
+names that the model hasn't seen, and a template of the family confirms it: the
+two share enough word pairs, one of which no other family's or other licence's
+notice has.  All other likely notices that have a word pair of any licence's
+notice are ``unknown``.
+
+Lines of a wrapped paragraph are scored by themselves too; they count where the
+whole isn't of a known family.  Every paragraph of every whole text is scored;
+the sample of corpus lines for training is bounded (a parameter).
 
 Defined results: null and empty texts have no paragraphs and no hits; a null id
 is carried; repeated rows are scanned alike; of equally likely families the
@@ -48,12 +55,15 @@ TEMPLATES = {
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "Released under the Apache License 2.0.",
         "SPDX-License-Identifier: Apache-2.0",
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
     ],
     "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
         "Released under the BSD 3-Clause License.",
         "Licensed under the BSD License.",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ],
     "cc-by": [
         "Licensed under CC BY 4.0.",
@@ -86,7 +96,9 @@ TEMPLATES = {
         "Released under the MIT License.",
         "Licensed under the MIT license.",
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction.',
+        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
         "SPDX-License-Identifier: MIT",
+        'The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
     ],
     "mpl": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
@@ -101,14 +113,31 @@ TEMPLATES = {
         "SPDX-License-Identifier: CC0-1.0",
     ],
 }
-# Notices that are no licence of a known family, and prose about rights; both for calibration.
+# Notices of licences outside the families, by name or by words; and prose about rights.
 STRANGERS = [
     "Licensed under the {name} Community License.",
     "This work is licensed under the {name} Shared Source License, version 1.",
+    "This work is licensed under the {name} License, version 3.",
     "Released under the {name} Open License.",
+    "Released under the {name} License.",
     "Use of this file is governed by the {name} license agreement.",
     "SPDX-License-Identifier: LicenseRef-{name}",
+    "SPDX-License-Identifier: {name}-2.0",
     "This software is distributed under the terms of the {name} Public License.",
+    "This program and the accompanying materials are made available under the terms of the {name} Public License v 2.0.",
+    "{name} Public License - v 2.0",
+    "The contents of this file are subject to the terms of the {name} Common Development License, v. 1.0.",
+    "Licensed under the {name} Software License, Version 1.0.",
+]
+OTHERS = [
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+    "Permission is hereby granted to use or copy this program for any purpose, provided the above notices are retained on all copies.",
+    "Licensed under the EUPL, Version 1.2 or later.",
+    "Distributed under the Boost Software License, Version 1.0.",
+    "Eclipse Public License - v 2.0",
+    "ISC License",
+    "The Artistic License 2.0",
 ]
 PROSE = [
     "The driver showed her license to the officer and went on.",
@@ -119,19 +148,22 @@ PROSE = [
 ]
 NAMES = "Acme Borealis Cobalt Delphi Ember Fjord Granite Helix Iris Juniper Kestrel Lumen".split()
 FAMILIES = sorted(TEMPLATES)
-CLASSES = [*FAMILIES, "none"]
-NONE = len(FAMILIES)
+CLASSES = [*FAMILIES, "unknown", "none"]
+UNKNOWN, NONE = len(FAMILIES), len(FAMILIES) + 1
 
 BITS, GRAMS = 16, 3
-#: Corpus paragraphs that the fit takes, about (the documented bound of the sample), and variants of each template.
+#: Corpus lines that the fit takes (the documented bound of the sample), and variants of each template.
 FIT_PARAGRAPHS, VARIANTS = 4000, 60
-CONFIRM, SLICE = 0.5, 2 << 20
+#: Least probability of a notice's best class, least similarity that confirms it; bytes of text handled at a time.
+LIKELY, CONFIRM, SLICE = 0.5, 0.5, 2 << 20
+#: Bytes of the shortest line that may be wrapped, and what ends a sentence or a statement.
+WRAPPED, TERMINAL = 40, np.isin(np.arange(256), np.frombuffer(b".!?:;{}", np.uint8))
 NEWLINE = 10
 
 
-def paragraphs(raw: np.ndarray, offsets: np.ndarray):
-    """Start, end and text number of every line with a word, and hashes and line number of every word."""
-    line = np.append(0, np.cumsum(raw == NEWLINE)) if len(raw) else np.zeros(1, np.int64)
+def word_lines(raw: np.ndarray, offsets: np.ndarray):
+    """Start, end, text number, line number and hash of every word; and per line whether the next one goes on from it."""
+    breaks = np.flatnonzero(raw == NEWLINE)
     letter = LETTER[raw]
     word = np.append(letter, False)
     first = word.copy()
@@ -143,19 +175,57 @@ def paragraphs(raw: np.ndarray, offsets: np.ndarray):
     first[inner] = word[inner]
     last[inner - 1] = word[inner - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    # Joiners alone are no word, but a comment mark or a rule.
+    solid = np.append(0, np.cumsum(ALNUM[raw]))
+    real = solid[ends] > solid[starts]
+    starts, ends = starts[real], ends[real]
+    # A text's end ends its line as a newline does.
+    stops = np.sort(np.concatenate([breaks, offsets[1:-1] - 0.5]))
+    line = np.searchsorted(stops, starts)
     text_of = np.searchsorted(offsets, starts, side="right") - 1
-    number = line[starts] + text_of  # a text's end ends its line
-    change = np.append(True, number[1:] != number[:-1]) if len(number) else np.zeros(0, bool)
-    begin = np.flatnonzero(change)
     hashes = mix(bytehash.ranges(bytehash.prefixes(raw, bytehash.FOLDED), starts, ends))
-    stop = np.append(begin[1:], len(starts))
-    return starts[begin], ends[stop - 1] if len(begin) else begin, text_of[begin], hashes, stop - begin
+    black = np.maximum.accumulate(np.where(SEPARATOR[raw], -1, np.arange(len(raw)))) if len(raw) else np.zeros(0, np.int64)
+    newline = stops == np.floor(stops)
+    at = stops[newline].astype(np.int64)
+    before = black[np.maximum(at - 1, 0)] if len(at) else at
+    begin = np.append(0, np.ceil(stops)).astype(np.int64)[:-1][newline]
+    goes = np.zeros(len(stops) + 1, bool)
+    goes[:-1][newline] = (before >= begin) & ~TERMINAL[raw[np.maximum(before, 0)]] & (at - begin >= WRAPPED)
+    return starts, ends, text_of, line, hashes, goes
+
+
+def runs_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and length of every run of equal keys."""
+    begin = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return begin, np.diff(np.append(begin, len(keys)))
+
+
+def paragraphs(raw: np.ndarray, offsets: np.ndarray):
+    """Start, end and text number of every line with a word, and hashes and line number of every word."""
+    starts, ends, text_of, line, hashes, _ = word_lines(raw, offsets)
+    begin, count = runs_of(line)
+    return starts[begin], ends[begin + count - 1], text_of[begin], hashes, count
+
+
+def wrapped(text_of: np.ndarray, line: np.ndarray, goes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First word and number of words of every paragraph of several lines."""
+    begin, count = runs_of(line)
+    on = np.zeros(len(begin), bool)
+    # Goes on if the line before does, is the one directly before, and is of the same text.
+    on[1:] = goes[line[begin[:-1]]] & (line[begin[1:]] == line[begin[:-1]] + 1) & (text_of[begin[1:]] == text_of[begin[:-1]])
+    number = np.cumsum(~on)
+    lead, lines = runs_of(number)
+    several = lines > 1
+    last = lead + lines - 1
+    return begin[lead[several]], (begin[last] + count[last] - begin[lead])[several]
 
 
 #: Bytes of words: letters, digits, all beyond ASCII, and the joiners of identifiers.
 LETTER = np.zeros(256, bool)
 LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256), ord("-"), ord("+")]] = True
 LETTER &= ~SEPARATOR
+ALNUM = LETTER.copy()
+ALNUM[[ord("-"), ord("+")]] = False
 
 
 def features(hashes: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
@@ -201,36 +271,62 @@ class Model:
     def __init__(self, weights, bias, temperature, threshold):
         self.weights, self.bias, self.temperature, self.threshold = weights, bias, temperature, threshold
         self.templates = {f: [grams(t) for t in TEMPLATES[f]] for f in FAMILIES}
+        self.pairs = notice_pairs()
+        # What only the notices of one family have.
+        strange = [grams(t) for t in strangers()]
+        self.own = {f: np.setdiff1d(np.concatenate(self.templates[f]), np.concatenate([*strange, *(t for g in FAMILIES if g != f for t in self.templates[g])])) for f in FAMILIES}
 
     def probabilities(self, hashes, counts):
         return softmax(logits(self.weights, self.bias, hashes, counts) / self.temperature)
 
     def similarity(self, family: int, paragraph: np.ndarray) -> float:
-        """Best share of a template's n-grams, or of the paragraph's, that the two have in common."""
+        """Best share of a template's n-grams, or of the paragraph's, that the two have in common; 0 if none is the family's own."""
         best = 0.0
+        if family == UNKNOWN or not len(np.intersect1d(self.own[FAMILIES[family]], paragraph)):
+            return best
         for t in self.templates[FAMILIES[family]]:
             common = len(np.intersect1d(t, paragraph))
             best = max(best, common / max(1, len(t)), common / max(1, len(paragraph)) if len(paragraph) >= 6 else 0.0)
         return best
 
 
-def grams(text: str) -> np.ndarray:
+def strangers() -> list[str]:
+    return [t.format(name=n) for t in STRANGERS for n in NAMES] + OTHERS
+
+
+def notice_pairs() -> np.ndarray:
+    """Word pairs of any notice."""
+    return np.unique(np.concatenate([pairs_of(words_of(t)) for t in [*strangers(), *(t for f in FAMILIES for t in TEMPLATES[f])]]))
+
+
+def words_of(text: str) -> np.ndarray:
     raw = np.frombuffer(text.encode(), np.uint8)
-    *_, hashes, counts = paragraphs(raw, np.array([0, len(raw)]))
-    return gram_set(hashes)
+    *_, hashes, _ = paragraphs(raw, np.array([0, len(raw)]))
+    return hashes
+
+
+def grams(text: str) -> np.ndarray:
+    return gram_set(words_of(text))
 
 
 def gram_set(hashes: np.ndarray) -> np.ndarray:
-    """Distinct word pairs (single words if there is no pair)."""
-    return np.unique(mix(hashes[:-1] * np.uint64(3) + hashes[1:])) if len(hashes) > 1 else np.unique(hashes)
+    """Distinct words and word pairs."""
+    return np.unique(np.concatenate([hashes, pairs_of(hashes)]))
+
+
+def pairs_of(hashes: np.ndarray) -> np.ndarray:
+    return mix(hashes[:-1] * np.uint64(3) + hashes[1:])
 
 
 def fit(corpus: list[str], seed: int = 1, epochs: int = 12) -> Model:
-    """corpus: paragraphs of which those with a template's words are left out."""
+    """corpus: paragraphs, of which those with words of a notice are left out."""
     rng = np.random.default_rng(seed)
     rows = [(v, i) for i, f in enumerate(FAMILIES) for t in TEMPLATES[f] for v in variants(t, rng, VARIANTS)]
-    known = [grams(t) for f in FAMILIES for t in TEMPLATES[f]]
-    quiet = [p for p in corpus if not any(len(np.intersect1d(k, g)) * 2 >= len(k) for g in [grams(p)] if len(g) for k in known)]
+    pairs = notice_pairs()
+    quiet = [p for p in corpus if len(w := words_of(p)) and np.isin(pairs_of(w), pairs).sum() <= len(w) // 8]
+    seen, unseen = NAMES[::2], NAMES[1::2]
+    rows += [(v, UNKNOWN) for t in OTHERS for v in variants(t, rng, VARIANTS)]
+    rows += [(v, UNKNOWN) for t in STRANGERS for n in seen for v in variants(t.format(name=n), rng, VARIANTS // 6)]
     rows += [(p, NONE) for p in [*quiet, *(v for t in PROSE for v in variants(t, rng, VARIANTS))]]
     text = [r[0].replace("\n", " ") for r in rows]
     raw = np.frombuffer("\n".join(text).encode(), np.uint8)
@@ -270,11 +366,12 @@ def fit(corpus: list[str], seed: int = 1, epochs: int = 12) -> Model:
     loss = lambda t: -np.log(np.maximum(softmax(z / t)[np.arange(len(held)), label[held]], 1e-12)).mean()
     temperature = min(np.geomspace(0.25, 4, 33), key=loss)
     p = softmax(z / temperature)
-    kept = p[(label[held] != NONE), label[held][label[held] != NONE]]
-    strange = [s.format(name=n) for s in STRANGERS for n in NAMES]
+    known = label[held] < UNKNOWN
+    kept = p[known, label[held][known]]
+    strange = [s.format(name=n) for s in STRANGERS for n in unseen]
     raw = np.frombuffer("\n".join(strange).encode(), np.uint8)
     *_, h, c = paragraphs(raw, np.array([0, len(raw)]))
-    other = softmax(logits(weights, bias, h, c) / temperature)[:, :NONE].max(axis=1)
+    other = softmax(logits(weights, bias, h, c) / temperature)[:, :UNKNOWN].max(axis=1)
     # The threshold with the fewest errors on held-out notices and on strangers, but at most what 98 of 100 notices reach.
     cuts = np.linspace(0.3, 0.99, 70)
     best = min(cuts, key=lambda t: (kept < t).mean() + (other >= t).mean())
@@ -282,14 +379,9 @@ def fit(corpus: list[str], seed: int = 1, epochs: int = 12) -> Model:
 
 
 def corpus_sample(docs: DataFrame, rows: int) -> list[str]:
-    """About that many paragraphs, chosen by a hash of their words, from all documents."""
-    lines = docs.select(F.explode(F.split(F.col("text"), "\n")).alias("p")).where("length(p) > 0").select("p", F.pmod(F.xxhash64(F.lit(1), "p"), F.lit(1 << 30)).alias("h"))
-    n = docs.select(F.sum(F.regexp_count("text", F.lit("\n")) + 1)).first()[0] or 0
-    if not n:
-        return []
-    share = int(min(1.0, rows / n) * (1 << 30)) + 1
-    found = lines.where(F.col("h") < share).orderBy("h", "p").limit(rows).collect()
-    return [r[0] for r in found]
+    """That many lines, those of the smallest hashes, from all documents."""
+    lines = docs.select(F.explode(F.split(F.col("text"), "\n")).alias("p")).where("length(p) > 0").select("p", F.xxhash64(F.lit(1), "p").alias("h"))
+    return [r[0] for r in lines.orderBy("h", "p").limit(rows).collect()]
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_paragraphs: int = FIT_PARAGRAPHS) -> DataFrame:
@@ -306,18 +398,39 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_para
         for batch in batches:
             for a, b in slices(batch.column(1), SLICE):
                 raw, offsets = utf8(batch.column(1).slice(a, b - a))
-                starts, ends, of, hashes, counts = paragraphs(raw, offsets)
-                p = model.probabilities(hashes, counts)
-                begin = np.cumsum(counts) - counts
+                starts, ends, text_of, line, hashes, goes = word_lines(raw, offsets)
+
+                def notices(begin, count):
+                    """(first word, last word, family number or UNKNOWN, probability, similarity) of the paragraphs with a notice."""
+                    words = hashes[positions(begin, count)]
+                    p = model.probabilities(words, count) if len(begin) else np.zeros((0, len(CLASSES)))
+                    for i in np.flatnonzero(p[:, :NONE].max(axis=1, initial=0.0) >= LIKELY):
+                        best, k = int(p[i, :NONE].argmax()), int(p[i, :UNKNOWN].argmax())
+                        words = hashes[begin[i] : begin[i] + count[i]]
+                        if not np.isin(pairs_of(words), model.pairs).any():
+                            continue  # single words only, as prose has them
+                        like = model.similarity(k, gram_set(words))
+                        sure = best < UNKNOWN and p[i, k] >= model.threshold and like >= CONFIRM
+                        yield int(begin[i]), int(begin[i] + count[i] - 1), k if sure else UNKNOWN, float(p[i, best]), like
+
+                begin, count = runs_of(line)
+                large = list(notices(*wrapped(text_of, line, goes)))
+                small = list(notices(begin, count))
+                inside = np.zeros(len(starts) + 1, np.int64)
+                at = np.array([y[0] for y in small], np.int64)
+                for x in large:
+                    # A whole paragraph of a known family stands for its lines, unless just one of them has the notice; else they do.
+                    own = small[np.searchsorted(at, x[0]) : np.searchsorted(at, x[1], side="right")]
+                    if not own or x[2] < UNKNOWN and (len(own) > 1 or own[0][2] != x[2]):
+                        inside[x[0]] += 1
+                        inside[x[1] + 1] -= 1
+                inside = np.cumsum(inside) > 0
+                found = [x for x in large if inside[x[0]]] + [y for y in small if not inside[y[0]]]
                 hits = [[] for _ in range(b - a)]
-                best = p[:, :NONE].argmax(axis=1) if len(p) else np.zeros(0, np.int64)
-                for i in np.flatnonzero(p[:, NONE] < 0.5):
-                    family, prob = int(best[i]), float(p[i, best[i]])
-                    like = model.similarity(family, gram_set(hashes[begin[i] : begin[i] + counts[i]]))
-                    sure = prob >= model.threshold and like >= CONFIRM
-                    lo = int(offsets[of[i]])
-                    hits[of[i]].append({"start": int(starts[i]) - lo, "end": int(ends[i]) - lo, "family": FAMILIES[family] if sure else "unknown", "probability": prob, "similarity": like})
-                n = np.bincount(of, minlength=b - a)
+                for first, last, family, prob, like in sorted(found):
+                    lo = int(offsets[text_of[first]])
+                    hits[text_of[first]].append({"start": int(starts[first]) - lo, "end": int(ends[last]) - lo, "family": CLASSES[family], "probability": prob, "similarity": like})
+                n = np.bincount(text_of[begin], minlength=b - a)
                 kinds = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("family", pa.string()), ("probability", pa.float64()), ("similarity", pa.float64())]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(hits, kinds)], names=["id", "n_paragraphs", "hits"])
 

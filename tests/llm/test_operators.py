@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -192,6 +193,35 @@ def test_licence_query_returns_every_notice(spark, tmp_path):
     assert [text[h.start : h.end] for h in named] == [mit.rstrip("."), gpl.rstrip(".")]
 
 
+MIT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'
+ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."
+
+
+def test_licences_in_wrapped_paragraphs(spark):
+    wrap = lambda text, mark="", width=72: "\n".join(mark + x for x in textwrap.wrap(text, width))
+    notices = [(wrap(MIT, width=80), "mit"), (wrap(MIT, " * "), "mit"), (wrap(TEMPLATES["bsd"][0], "# ", 60), "bsd"), (wrap(TEMPLATES["lgpl"][0], "// "), "lgpl"), (wrap(TEMPLATES["apache"][1], "-- "), "apache")]
+    notices += [(wrap(ISC), "unknown"), ("Eclipse Public License - v 2.0", "unknown"), ("ISC License", "unknown"), (wrap("This program and the accompanying materials are made available under the terms of the Eclipse Public License v 2.0"), "unknown")]
+    prose = [("The driver lost the license.\nAll of it was read, and nothing was left of the rights of the others to it\nwhen they came", None), ("", None), (None, None), ("MIT", None)]
+    rows = [(i, f"Some text before, at length.\n\n{t}\n\nSome text after." if f else t, f) for i, (t, f) in enumerate(notices + prose)]
+    got = {r.doc_id: r for r in scan(spark.createDataFrame(rows, "doc_id long, text string, family string")).collect()}
+    for i, text, family in rows:
+        families = {h.family for h in got[i].hits or []}
+        assert families - {"unknown"} == ({family} if family and family != "unknown" else set()), text
+        assert ("unknown" in families) == (family == "unknown") or family and family != "unknown", text
+        assert got[i].family == (family if family != "unknown" else None), text
+    # A notice is one hit, from its first word to its last.
+    hit = got[0].hits[0]
+    assert len(got[0].hits) == 1 and rows[0][1][hit.start : hit.end] == notices[0][0].rstrip(":")
+
+
+def test_licences_against_a_search_for_the_notices(spark):
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    lines = {"Released under the MIT License.": "mit", "Licensed under CC BY-NC 4.0.": "cc-by-nc", "All rights reserved.": "all-rights-reserved", "Licensed under the Apache License, Version 2.0.": "apache", "This work is licensed under the GNU General Public License, version 3.": "gpl"}
+    want = {r.doc_id: sorted((r.text.encode().find(x.encode()), f) for x, f in lines.items() if x in (r.text or "")) for r in documents.collect()}
+    got = {r.doc_id: [(h.start, h.family) for h in r.hits] for r in scan(documents).collect()}
+    assert got == want and sum(map(len, want.values())) > 10
+
+
 def test_substrings(spark, docs):
     want, seen = {}, {}
     for i, t in sorted(pairs(docs), key=lambda r: float("inf") if r[0] is None else r[0]):
