@@ -25,9 +25,15 @@ def log_likelihood(y: Column, p: Column) -> Column:
     return F.when(y == 1, F.log(q)).otherwise(F.log(1 - q))
 
 
+def bind(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it (a lambda repeats what stands in it)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def softmax(z: Column) -> Column:
-    e = F.transform(z, lambda x: F.exp(x - F.array_max(z)))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+    """Linear in the number of classes: the largest logit, the exponentials and their sum are computed once."""
+    share = lambda e: bind(F.aggregate(e, F.lit(0.0), lambda a, b: a + b), lambda s: F.transform(e, lambda x: x / s))
+    return bind(F.array_max(z), lambda top: bind(F.transform(z, lambda x: F.exp(x - top)), share))
 
 
 def argmax_floor(z: Column) -> Column:

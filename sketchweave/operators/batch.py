@@ -4,6 +4,15 @@ All gradients of a batch use the model at its start and their deltas are summed,
 so a step does not depend on partitioning or on the order of rows.  Examples are
 in long form: example_id, label, feature, x.  Models: logistic (feature, w);
 fine (class, feature, w); coarse (feature, w = L1 norm).
+
+A step is lazy: its sketch and model are plans over the ones before.  ``keep``
+(a function of a table and its name) may write what a step uses several times,
+the summed deltas and the new sketch, so that nothing is computed twice and plans
+don't grow with the number of steps.
+
+With many classes, a table row per feature holds the numbers of all classes as an
+array, so that joins and sums handle one row for a feature of an example and not
+one for every class.
 """
 
 from __future__ import annotations
@@ -32,6 +41,10 @@ def empty_model(examples: DataFrame, classes: bool = False) -> DataFrame:
     return examples.sparkSession.createDataFrame([], f"feature {kind}, w double" if not classes else f"class int, feature {kind}, w double")
 
 
+def lazy(table: DataFrame, _: str) -> DataFrame:
+    return table
+
+
 def _add(old: DataFrame | None, new: DataFrame) -> DataFrame:
     return new if old is None else sk.merge(old, new)
 
@@ -46,7 +59,7 @@ def logistic_scores(examples: DataFrame, model: DataFrame | None) -> DataFrame:
     return z.withColumn("p", link.sigmoid(F.col("z")))
 
 
-def logistic_step(examples: DataFrame, state: State, cfg: SketchConfig, refresh: str = "touched") -> State:
+def logistic_step(examples: DataFrame, state: State, cfg: SketchConfig, refresh: str = "touched", keep=lazy) -> State:
     """One batch: sketch update, then the top k of the batch's features and the model's.
 
     ``refresh``: whether model features outside the batch keep their weight
@@ -57,8 +70,8 @@ def logistic_step(examples: DataFrame, state: State, cfg: SketchConfig, refresh:
     else:
         scores = logistic_scores(examples, state.model).select("example_id", (F.col("label") - F.col("p")).alias("g"))
         residual = examples.join(scores, "example_id")
-    deltas = residual.groupBy("feature").agg((F.sum(F.col("g") * F.col("x")) * cfg.lr).alias("delta"))
-    sketch = _add(state.sketch, sk.build(deltas, cfg))
+    deltas = keep(residual.groupBy("feature").agg((F.sum(F.col("g") * F.col("x")) * cfg.lr).alias("delta")), "deltas")
+    sketch = keep(_add(state.sketch, sk.build(deltas, cfg, summed=True)), "sketch")
     touched = deltas.select("feature")
     if state.model is None:
         weights = sk.estimate(touched, sketch, cfg)
@@ -77,23 +90,30 @@ def predict_logistic(examples: DataFrame, model: DataFrame) -> DataFrame:
 # Multi-class: logits as (example_id, label, z array) over all classes
 
 
-def logits(contributions: DataFrame, examples: DataFrame, n_classes: int) -> DataFrame:
-    """contributions: example_id, class, w.  example_id, label, z (array over classes, 0 where nothing contributes)."""
-    z = contributions.groupBy("example_id").agg(*[F.sum(F.when(F.col("class") == c, F.col("w"))).alias(f"z{c}") for c in range(n_classes)])
-    base = examples.select("example_id", "label").distinct().join(z, "example_id", "left")
-    return base.select("example_id", "label", F.array(*[F.coalesce(f"z{c}", F.lit(0.0)) for c in range(n_classes)]).alias("z"))
+def class_columns(n_classes: int, value) -> list:
+    """One column per class from ``value(class)``."""
+    return [value(c).alias(f"z{c}") for c in range(n_classes)]
+
+
+def class_arrays(weights: DataFrame, key: str, n_classes: int) -> DataFrame:
+    """weights: key, class, w.  key, ws: the weights of all classes as an array, 0 where there is none."""
+    wide = weights.groupBy(key).agg(*class_columns(n_classes, lambda c: F.max(F.when(F.col("class") == c, F.col("w")))))
+    return wide.select(key, F.array(*[F.coalesce(f"z{c}", F.lit(0.0)) for c in range(n_classes)]).alias("ws"))
 
 
-def class_gradients(scores: DataFrame) -> DataFrame:
-    """example_id, class, g: probability less the one-hot label."""
-    p = link.softmax(F.col("z"))
-    return scores.select("example_id", F.posexplode(link.softmax_gradient(p, F.col("label"))).alias("class", "g"))
+def logits(examples: DataFrame, weights: DataFrame, n_classes: int, key: str = "feature") -> DataFrame:
+    """examples with a column ``key``; weights: key, class, w.  example_id, label, z (array over classes, 0 where nothing contributes)."""
+    hit = examples.join(class_arrays(weights, key, n_classes), key, "left")
+    z = hit.groupBy("example_id", "label").agg(*class_columns(n_classes, lambda c: F.sum(F.col("ws")[c] * F.col("x"))))
+    return z.select("example_id", "label", F.array(*[F.coalesce(f"z{c}", F.lit(0.0)) for c in range(n_classes)]).alias("z"))
 
 
-def class_deltas(examples: DataFrame, scores: DataFrame, lr: float) -> DataFrame:
-    """feature, class, delta, pre-aggregated over the batch."""
-    g = examples.select("example_id", "feature", "x").join(class_gradients(scores), "example_id")
-    return g.groupBy("feature", "class").agg((F.sum(F.col("g") * F.col("x")) * -lr).alias("delta"))
+def class_deltas(examples: DataFrame, scores: DataFrame, cfg: SketchConfig) -> DataFrame:
+    """feature, class, delta, summed over the batch: by feature as arrays, and only then a row per class."""
+    gradient = scores.select("example_id", link.softmax_gradient(link.softmax(F.col("z")), F.col("label")).alias("g"))
+    hit = examples.select("example_id", "feature", "x").join(gradient, "example_id")
+    wide = hit.groupBy("feature").agg(*class_columns(cfg.n_classes, lambda c: F.sum(F.col("g")[c] * F.col("x")) * -cfg.lr))
+    return wide.select("feature", F.posexplode(F.array(*[f"z{c}" for c in range(cfg.n_classes)])).alias("class", "delta"))
 
 
 def zero_scores(examples: DataFrame, n_classes: int) -> DataFrame:
@@ -101,7 +121,9 @@ def zero_scores(examples: DataFrame, n_classes: int) -> DataFrame:
 
 
 def predictions(scores: DataFrame) -> DataFrame:
-    return scores.select("example_id", "label", link.argmax_floor(F.col("z")).alias("prediction"))
+    """Logits are compared at DIGITS decimals, so that the last bits of a sum decide nothing."""
+    z = F.transform("z", lambda x: F.round(x, tk.DIGITS))
+    return scores.select("example_id", "label", link.argmax_floor(z).alias("prediction"))
 
 
 def losses(scores: DataFrame) -> DataFrame:
@@ -115,13 +137,12 @@ def losses(scores: DataFrame) -> DataFrame:
 def hashed_scores(examples: DataFrame, table: DataFrame | None, cfg: SketchConfig) -> DataFrame:
     if table is None:
         return zero_scores(examples, cfg.n_classes)
-    hit = sk.feature_bucket(examples, cfg).join(table, "b").select("example_id", "class", (F.col("w") * F.col("x")).alias("w"))
-    return logits(hit, examples, cfg.n_classes)
+    return logits(sk.feature_bucket(examples, cfg), table, cfg.n_classes, key="b")
 
 
-def hashed_step(examples: DataFrame, table: DataFrame | None, cfg: SketchConfig) -> DataFrame:
-    deltas = class_deltas(examples, hashed_scores(examples, table, cfg), cfg.lr)
-    return _add(table, sk.hashed_build(deltas, cfg, classes=True))
+def hashed_step(examples: DataFrame, table: DataFrame | None, cfg: SketchConfig, keep=lazy) -> DataFrame:
+    deltas = class_deltas(examples, hashed_scores(examples, table, cfg), cfg)
+    return keep(_add(table, sk.hashed_build(deltas, cfg, classes=True, summed=True)), "hashed")
 
 
 # Fine: one top-k table per class, thresholded training scores
@@ -136,13 +157,12 @@ def fine_scores(examples: DataFrame, state: State, cfg: SketchConfig) -> DataFra
         minimum = tk.thresholds(state.model, cfg.k)
         weights = weights.join(minimum, "class", "left").withColumn("minimum", F.coalesce("minimum", F.lit(0.0)))
         weights = weights.select("feature", "class", link.hard_threshold(F.col("w"), F.col("minimum"), tk.DIGITS).alias("w")).where("w <> 0")
-    hit = examples.join(weights, "feature").select("example_id", "class", (F.col("w") * F.col("x")).alias("w"))
-    return logits(hit, examples, cfg.n_classes)
+    return logits(examples, weights, cfg.n_classes)
 
 
-def fine_step(examples: DataFrame, state: State, cfg: SketchConfig) -> State:
-    deltas = class_deltas(examples, fine_scores(examples, state, cfg), cfg.lr)
-    sketch = _add(state.sketch, sk.build(deltas, cfg, classes=True))
+def fine_step(examples: DataFrame, state: State, cfg: SketchConfig, keep=lazy) -> State:
+    deltas = keep(class_deltas(examples, fine_scores(examples, state, cfg), cfg), "deltas")
+    sketch = keep(_add(state.sketch, sk.build(deltas, cfg, classes=True, summed=True)), "sketch")
     touched = deltas.select("feature").distinct()
     weights = sk.estimate_classes(touched, sketch, cfg).select("class", "feature", "w")
     if state.model is not None:
@@ -152,9 +172,8 @@ def fine_step(examples: DataFrame, state: State, cfg: SketchConfig) -> State:
 
 def predict_fine(examples: DataFrame, model: DataFrame, cfg: SketchConfig, fidelity: bool = False) -> DataFrame:
     """Scores by the held values; ``fidelity`` sums their sizes instead, without sign."""
-    w = F.abs("w") if fidelity else F.col("w")
-    hit = examples.join(model, "feature").select("example_id", F.col("class"), (w * F.col("x")).alias("w"))
-    return predictions(logits(hit, examples, cfg.n_classes))
+    held = model.withColumn("w", F.abs("w")) if fidelity else model
+    return predictions(logits(examples, held, cfg.n_classes))
 
 
 # Coarse: one top-k table by L1 norm over classes; scores always read the sketch
@@ -163,19 +182,17 @@ def predict_fine(examples: DataFrame, model: DataFrame, cfg: SketchConfig, fidel
 def coarse_scores(examples: DataFrame, state: State, cfg: SketchConfig) -> DataFrame:
     if state.model is None or state.sketch is None:
         return zero_scores(examples, cfg.n_classes)
-    active = tk.members(examples, state.model)
-    weights = sk.estimate_classes(active.select("feature").distinct(), state.sketch, cfg)
-    hit = active.join(weights, "feature").select("example_id", "class", (F.col("w") * F.col("x")).alias("w"))
-    return logits(hit, examples, cfg.n_classes)
+    active = tk.members(examples.select("feature").distinct(), state.model)
+    return logits(examples, sk.estimate_classes(active, state.sketch, cfg), cfg.n_classes)
 
 
 def l1_norms(weights: DataFrame) -> DataFrame:
     return weights.groupBy("feature").agg(F.sum(F.abs("w")).alias("w"))
 
 
-def coarse_step(examples: DataFrame, state: State, cfg: SketchConfig) -> State:
-    deltas = class_deltas(examples, coarse_scores(examples, state, cfg), cfg.lr)
-    sketch = _add(state.sketch, sk.build(deltas, cfg, classes=True))
+def coarse_step(examples: DataFrame, state: State, cfg: SketchConfig, keep=lazy) -> State:
+    deltas = keep(class_deltas(examples, coarse_scores(examples, state, cfg), cfg), "deltas")
+    sketch = keep(_add(state.sketch, sk.build(deltas, cfg, classes=True, summed=True)), "sketch")
     touched = deltas.select("feature").distinct()
     weights = l1_norms(sk.estimate_classes(touched, sketch, cfg))
     if state.model is not None:
@@ -206,8 +223,27 @@ def loss_log(rows: DataFrame) -> DataFrame:
     return per.select("batch_id", F.sum("n").over(so_far).alias("cnt"), "avg_loss")
 
 
-def fit_parts(parts, step, state, settle=lambda x, _: x):
-    """Trains on one part after the other and yields (epoch, state); ``settle`` may write a state to storage."""
+def rows_read(examples: DataFrame, cfg: SketchConfig) -> DataFrame:
+    """examples: example_id from 0.  batch_id, rows of the batch, and rows read up to its end."""
+    per = examples.groupBy(batch_of(F.col("example_id") + 1, cfg).alias("batch_id")).agg(F.countDistinct("example_id").alias("rows"))
+    so_far = Window.orderBy("batch_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return per.withColumn("rows_read", F.sum("rows").over(so_far))
+
+
+def fit_parts(parts, step, state, settle=lambda x, _: x, log=lambda banner: None):
+    """Trains on one part after the other and yields (epoch, state); ``settle`` may write a state to
+    storage, ``log`` gets the banners of each epoch's training and validation."""
     for epoch, part in enumerate(parts):
+        log(f"Epoch: {epoch}")
         state = settle(step(part, state), epoch)
+        log(f"Validation: {epoch}")
         yield epoch, state
+
+
+def fit_validate(parts, test: DataFrame, step, state, predict, settle=lambda x, _: x, log=lambda banner: None) -> DataFrame:
+    """Trains on the parts in turn and predicts the test examples after each: epoch and the columns of ``predict(test, state)``."""
+    out = None
+    for epoch, state in fit_parts(parts, step, state, settle, log):
+        one = predict(test, state).withColumn("epoch", F.lit(epoch))
+        out = one if out is None else out.unionByName(one)
+    return out

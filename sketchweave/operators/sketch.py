@@ -25,10 +25,10 @@ def with_cells(df: DataFrame, cfg: SketchConfig) -> DataFrame:
     return df.where("feature IS NOT NULL").withColumn("cell", F.explode(cells(key, cfg))).select(*df.columns, "cell.r", "cell.b", "cell.sg")
 
 
-def build(deltas: DataFrame, cfg: SketchConfig, classes: bool = False) -> DataFrame:
-    """deltas: feature[, class], delta.  The sketch of their sum."""
+def build(deltas: DataFrame, cfg: SketchConfig, classes: bool = False, summed: bool = False) -> DataFrame:
+    """deltas: feature[, class], delta.  The sketch of their sum; ``summed``: a feature (and class) has one row already."""
     by = ["class"] if classes else []
-    per_feature = deltas.groupBy("feature", *by).agg(F.sum("delta").alias("delta"))
+    per_feature = deltas if summed else deltas.groupBy("feature", *by).agg(F.sum("delta").alias("delta"))
     return with_cells(per_feature, cfg).groupBy("r", "b", *by).agg(F.sum(F.col("sg") * F.col("delta")).alias("w"))
 
 
@@ -54,6 +54,11 @@ def estimate_classes(features: DataFrame, sketch: DataFrame, cfg: SketchConfig)
     return _median(hit.groupBy("feature", "class"), rows, ["feature", "class"])
 
 
+def estimate_class(features: DataFrame, sketch: DataFrame, cfg: SketchConfig, cls: int) -> DataFrame:
+    """feature, w of one class of a multi-class sketch; only its cells are read."""
+    return estimate(features, sketch.where(F.col("class") == cls).select("r", "b", "w"), cfg)
+
+
 def _median(grouped, rows, keys) -> DataFrame:
     wide = grouped.agg(*[v.alias(f"v{i}") for i, v in enumerate(rows)])
     return wide.select(*keys, median_of([F.col(f"v{i}") for i in range(len(rows))]).alias("w"))
@@ -64,9 +69,9 @@ def feature_bucket(df: DataFrame, cfg: SketchConfig) -> DataFrame:
     return df.where("feature IS NOT NULL").withColumn("b", bucket(key_of(F.col("feature"), feature_kind(df), cfg), cfg.seeds[0], cfg.n_buckets))
 
 
-def hashed_build(deltas: DataFrame, cfg: SketchConfig, classes: bool = False) -> DataFrame:
+def hashed_build(deltas: DataFrame, cfg: SketchConfig, classes: bool = False, summed: bool = False) -> DataFrame:
     by = ["class"] if classes else []
-    per_feature = deltas.groupBy("feature", *by).agg(F.sum("delta").alias("delta"))
+    per_feature = deltas if summed else deltas.groupBy("feature", *by).agg(F.sum("delta").alias("delta"))
     return feature_bucket(per_feature, cfg).groupBy("b", *by).agg(F.sum("delta").alias("w"))
 
 

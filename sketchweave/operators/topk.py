@@ -28,6 +28,11 @@ def thresholds(model: DataFrame, k: int) -> DataFrame:
     return model.groupBy("class").agg(F.when(F.count("*") < k, 0.0).otherwise(F.min(F.abs("w"))).alias("minimum"))
 
 
+def full(model: DataFrame, k: int) -> DataFrame:
+    """class, full: whether a class's table holds k features."""
+    return model.groupBy("class").agg((F.count("*") >= k).alias("full"))
+
+
 def lookup(features: DataFrame, model: DataFrame, on=("feature",)) -> DataFrame:
     """All rows of ``features`` with w, 0 for what the model doesn't hold."""
     return features.join(model.select(*on, "w"), list(on), "left").withColumn("w", F.coalesce("w", F.lit(0.0)))

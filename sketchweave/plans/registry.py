@@ -14,7 +14,7 @@ from ..operators import online as on
 from ..operators import sketch as sk
 from ..operators import topk as tk
 from ..sources import model_io, readers
-from ..streaming.storage import scratch
+from ..streaming.storage import keeper, scratch
 from ..streaming.trainer import StreamTrainer
 from .murmur_sql import blocks, hash_items
 
@@ -45,6 +45,11 @@ def tokens(spark, sf_dir):
     return readers.document_tokens(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def all_tokens(spark, sf_dir):
+    """The tokens of all documents, labelled or not."""
+    return table(spark, sf_dir, "documents").select(F.explode(F.split("text", " ")).alias("feature")).where("feature <> ''").distinct()
+
+
 def numeric(spark, sf_dir):
     return readers.event_numeric(table(spark, sf_dir, "events"))
 
@@ -80,6 +85,8 @@ TOKENS = """tok AS (
   FROM documents d JOIN labels l USING (doc_id)
 ), ex AS (SELECT *, 1.0::DOUBLE AS x FROM tok WHERE feature <> '')"""
 
+ALL_TOKENS = "ex AS (SELECT DISTINCT feature FROM (SELECT unnest(string_split(text, ' ')) AS feature FROM documents) WHERE feature <> '')"
+
 NUMERIC = """ex AS (
   SELECT event_id AS example_id, (event_type = 'error')::INT AS label, unnest([user_id::INT, hour(ts)::INT + 1000000]) AS feature, 1.0::DOUBLE AS x FROM events
 )"""
@@ -173,9 +180,9 @@ def murmur_int(spark, sf_dir):
     return _hash_features(numeric(spark, sf_dir), "int", BIN)
 
 
-@query(_hash_sql(TOKENS, "string"))
+@query(_hash_sql(ALL_TOKENS, "string"))
 def murmur_str12(spark, sf_dir):
-    return _hash_features(tokens(spark, sf_dir), "string", BIN)
+    return _hash_features(all_tokens(spark, sf_dir), "string", BIN)
 
 
 @query(with_sql(NUMERIC, cells_sql(BIN, "int"), final="SELECT feature, r, b, sg FROM cells"))
@@ -183,9 +190,9 @@ def bucket_sign(spark, sf_dir):
     return sk.with_cells(numeric(spark, sf_dir).select("feature").distinct(), BIN)
 
 
-@query(with_sql(TOKENS, bucket_sql(BIN, "string"), final="SELECT feature, b FROM bk"))
+@query(with_sql(ALL_TOKENS, bucket_sql(BIN, "string"), final="SELECT feature, b FROM bk"))
 def feature_bucket(spark, sf_dir):
-    return sk.feature_bucket(tokens(spark, sf_dir).select("feature").distinct(), BIN)
+    return sk.feature_bucket(all_tokens(spark, sf_dir), BIN)
 
 
 # Sources: lines made of table columns, then parsed
@@ -293,6 +300,12 @@ def sketch_estimate_classes(spark, sf_dir):
     return _class_weights(spark, sf_dir)
 
 
+@query(_class_sql("one AS (SELECT f.feature, coalesce(e.w, 0.0) AS w FROM (SELECT DISTINCT feature FROM dp) f LEFT JOIN (SELECT * FROM est WHERE class = 1) e USING (feature))", final="SELECT feature, w FROM one"))
+def sketch_estimate_class(spark, sf_dir):
+    d = part_quantity_classes(spark, sf_dir)
+    return sk.estimate_class(d.select("feature").distinct(), sk.build(d, CLASS3, classes=True), CLASS3, 1)
+
+
 @query(with_sql(QUANTITY, bucket_sql(BIN, "int", "dl"), final="SELECT b, sum(delta) AS w FROM dl JOIN bk USING (feature) GROUP BY b"))
 def hashed_table(spark, sf_dir):
     return sk.hashed_build(part_quantity(spark, sf_dir), BIN)
@@ -343,6 +356,11 @@ def topk_threshold(spark, sf_dir):
     return tk.thresholds(tk.topk_per_class(_class_weights(spark, sf_dir), 50), 50)
 
 
+@query(_class_sql(top_class_sql("est", 50, "model"), final="SELECT class, count(*) >= 50 AS \"full\" FROM model GROUP BY class"))
+def topk_full(spark, sf_dir):
+    return tk.full(tk.topk_per_class(_class_weights(spark, sf_dir), 50), 50)
+
+
 @query(with_sql(*FIRST_STEP, top_sql("est", BIN.k, "model"), final="SELECT example_id, ex.feature, coalesce(model.w, 0.0) AS w FROM ex LEFT JOIN model USING (feature)"))
 def topk_lookup(spark, sf_dir):
     return tk.lookup(tokens(spark, sf_dir), topk_global(spark, sf_dir)).select("example_id", "feature", "w")
@@ -368,35 +386,42 @@ def topk_active_set(spark, sf_dir):
     return tk.active_set(*[per.where(F.col("class") == c) for c in range(3)])
 
 
-# Links, losses, gradients: class vectors from the embeddings
+# Links, losses, gradients: class vectors are the whole embeddings, a class per component
 
 
 def vectors(spark, sf_dir):
-    z = F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double") * 4)
-    return table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 4).alias("label"), z.alias("z"))
+    z = F.transform("embedding", lambda x: x.cast("double") * 4)
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.pmod("label", F.size("embedding")).cast("int").alias("label"), z.alias("z"))
 
 
-VECTORS = """v AS (SELECT vec_id, (label % 4)::INT AS label, [x::DOUBLE * 4 FOR x IN embedding[1:4]] AS z FROM embeddings),
-s AS (SELECT *, [exp(x - list_max(z)) FOR x IN z] AS e FROM v),
-p AS (SELECT vec_id, label, z, [x / list_sum(e) FOR x IN e] AS p FROM s)"""
+VECTORS = """v AS (SELECT vec_id, ((label % len(embedding) + len(embedding)) % len(embedding))::INT AS label, [x::DOUBLE * 4 FOR x IN embedding] AS z FROM embeddings),
+t AS (SELECT *, list_max(z) AS top FROM v),
+s AS (SELECT *, [exp(x - top) FOR x IN z] AS e FROM t),
+p AS (SELECT vec_id, label, z, [x / list_sum(e) FOR x IN e] AS p FROM s),
+c AS (SELECT vec_id, label, (unnest(range(len(z))))::INT AS class, unnest(z) AS z FROM v)"""
 
 
 def exploded(df, column, name):
     return df.select("vec_id", F.posexplode(column).alias("class", name))
 
 
-@query(f"WITH {VECTORS} SELECT vec_id, {r6('1 / (1 + exp(-z[1]))')} AS p FROM v")
+def components(spark, sf_dir):
+    """One row per component of an embedding: vec_id, label, class, z."""
+    return vectors(spark, sf_dir).select("vec_id", "label", F.posexplode("z").alias("class", "z"))
+
+
+@query(f"WITH {VECTORS} SELECT vec_id, class, {r6('1 / (1 + exp(-z))')} AS p FROM c")
 def sigmoid(spark, sf_dir):
-    return rounded(vectors(spark, sf_dir).select("vec_id", link.sigmoid(F.element_at("z", 1)).alias("p")), "p")
+    return rounded(components(spark, sf_dir).select("vec_id", "class", link.sigmoid(F.col("z")).alias("p")), "p")
 
 
-@query(f"WITH {VECTORS}, q AS (SELECT vec_id, label % 2 AS y, 1 / (1 + exp(-z[1])) AS p FROM v) SELECT vec_id, {r6('CASE WHEN y = 1 THEN ln(p) ELSE ln(1 - p) END')} AS loss FROM q")
+@query(f"WITH {VECTORS}, q AS (SELECT vec_id, class, label % 2 AS y, 1 / (1 + exp(-z)) AS p FROM c) SELECT vec_id, class, {r6('CASE WHEN y = 1 THEN ln(p) ELSE ln(1 - p) END')} AS loss FROM q")
 def logloss(spark, sf_dir):
-    v = vectors(spark, sf_dir)
-    return rounded(v.select("vec_id", link.log_likelihood(F.col("label") % 2, link.sigmoid(F.element_at("z", 1))).alias("loss")), "loss")
+    c = components(spark, sf_dir)
+    return rounded(c.select("vec_id", "class", link.log_likelihood(F.col("label") % 2, link.sigmoid(F.col("z"))).alias("loss")), "loss")
 
 
-@query(f"WITH {VECTORS} SELECT vec_id, unnest(range(4))::INT AS class, {r6('unnest(p)')} AS p FROM p")
+@query(f"WITH {VECTORS} SELECT vec_id, unnest(range(len(p)))::INT AS class, {r6('unnest(p)')} AS p FROM p")
 def softmax(spark, sf_dir):
     return rounded(exploded(vectors(spark, sf_dir), link.softmax(F.col("z")), "p"), "p")
 
@@ -412,7 +437,7 @@ def xent(spark, sf_dir):
     return rounded(v.select("vec_id", link.cross_entropy(link.softmax(F.col("z")), F.col("label")).alias("loss")), "loss")
 
 
-@query(f"WITH {VECTORS}, u AS (SELECT vec_id, label, unnest(range(4))::INT AS class, unnest(p) AS p FROM p) SELECT vec_id, class, {r6('p - (class = label)::INT')} AS g FROM u")
+@query(f"WITH {VECTORS}, u AS (SELECT vec_id, label, unnest(range(len(p)))::INT AS class, unnest(p) AS p FROM p) SELECT vec_id, class, {r6('p - (class = label)::INT')} AS g FROM u")
 def grad_softmax(spark, sf_dir):
     v = vectors(spark, sf_dir)
     return rounded(exploded(v, link.softmax_gradient(link.softmax(F.col("z")), F.col("label")), "g"), "g")
@@ -423,12 +448,12 @@ def l1_norm(spark, sf_dir):
     return bt.l1_norms(_class_weights(spark, sf_dir))
 
 
-@query(f"WITH {VECTORS} SELECT vec_id, {r6('CASE WHEN z[1] >= 0.5 OR z[1] <= -0.5 THEN z[1] ELSE 0.0 END')} AS w FROM v")
+@query(f"WITH {VECTORS} SELECT vec_id, class, {r6('CASE WHEN z >= 0.5 OR z <= -0.5 THEN z ELSE 0.0 END')} AS w FROM c")
 def hard_threshold(spark, sf_dir):
-    return rounded(vectors(spark, sf_dir).select("vec_id", link.hard_threshold(F.element_at("z", 1), F.lit(0.5)).alias("w")), "w")
+    return rounded(components(spark, sf_dir).select("vec_id", "class", link.hard_threshold(F.col("z"), F.lit(0.5)).alias("w")), "w")
 
 
-# Steps
+# Steps.  A table makes two batches, of even and of odd example ids; every query covers both.
 
 HALVES = NUMERIC + ", b0 AS (SELECT * FROM ex WHERE example_id % 2 = 0), b1 AS (SELECT * FROM ex WHERE example_id % 2 = 1)"
 NUM = BIN.but(k=100, lr=0.001)
@@ -460,14 +485,22 @@ def _logistic_second(cfg):
     )
 
 
+def two_steps(step, state, examples, cfg):
+    """The state after both batches; what a step uses again is written once."""
+    keep = keeper(examples.sparkSession)
+    state = step(half(examples, 0), state, cfg, keep=keep)
+    if isinstance(state, bt.State):
+        state = bt.State(state.sketch, keep(state.model, "model"))
+    return step(half(examples, 1), state, cfg, keep=keep)
+
+
 def two_logistic(spark, sf_dir):
-    e = numeric(spark, sf_dir)
-    return bt.logistic_step(half(e, 1), bt.logistic_step(half(e, 0), bt.State(), NUM), NUM)
+    return two_steps(bt.logistic_step, bt.State(), numeric(spark, sf_dir), NUM)
 
 
-@query(with_sql(HALVES, *_logistic_first(NUM), final=f"SELECT feature, {r6('w')} AS w FROM m0"))
+@query(with_sql(NUMERIC, *_logistic_first(NUM, "ex"), final=f"SELECT feature, {r6('w')} AS w FROM m0"))
 def logistic_step(spark, sf_dir):
-    return rounded(bt.logistic_step(half(numeric(spark, sf_dir), 0), bt.State(), NUM).model, "w")
+    return rounded(bt.logistic_step(numeric(spark, sf_dir), bt.State(), NUM).model, "w")
 
 
 @query(with_sql(HALVES, *_logistic_first(NUM), *_logistic_second(NUM), final=f"SELECT feature, {r6('w')} AS w FROM m1"))
@@ -513,20 +546,19 @@ HASHED = (
 )
 
 
-def first_hashed(spark, sf_dir):
-    return bt.hashed_step(half(classes(spark, sf_dir), 0), None, MULTI)
+HASHED_SECOND = (
+    class_deltas_sql("b1", "z1", MULTI, "d1"),
+    "t1 AS MATERIALIZED (SELECT b, class, sum(w) AS w FROM (SELECT b, class, w FROM t0 UNION ALL SELECT b, class, delta FROM d1 JOIN bk USING (feature)) GROUP BY b, class)",
+)
 
 
-@query(
-    with_sql(
-        *HASHED,
-        class_deltas_sql("b1", "z1", MULTI, "d1"),
-        "t1 AS (SELECT b, class, sum(w) AS w FROM (SELECT b, class, w FROM t0 UNION ALL SELECT b, class, delta FROM d1 JOIN bk USING (feature)) GROUP BY b, class)",
-        final=f"SELECT b, class, {r6('w')} AS w FROM t1",
-    )
-)
+def two_hashed(spark, sf_dir):
+    return two_steps(bt.hashed_step, None, classes(spark, sf_dir), MULTI)
+
+
+@query(with_sql(*HASHED, *HASHED_SECOND, final=f"SELECT b, class, {r6('w')} AS w FROM t1"))
 def fh_step(spark, sf_dir):
-    return rounded(bt.hashed_step(half(classes(spark, sf_dir), 1), first_hashed(spark, sf_dir), MULTI), "w")
+    return rounded(two_hashed(spark, sf_dir), "w")
 
 
 FIRST_CLASS = (
@@ -552,13 +584,13 @@ FINE_SECOND = (
 )
 
 
-def first_fine(spark, sf_dir):
-    return bt.fine_step(half(classes(spark, sf_dir), 0), bt.State(), MULTI)
+def two_fine(spark, sf_dir):
+    return two_steps(bt.fine_step, bt.State(), classes(spark, sf_dir), MULTI)
 
 
 @query(with_sql(*FINE, *FINE_SECOND, final=f"SELECT class, feature, {r6('w')} AS w FROM m1"))
 def fine_step(spark, sf_dir):
-    return rounded(bt.fine_step(half(classes(spark, sf_dir), 1), first_fine(spark, sf_dir), MULTI).model, "w").select("class", "feature", "w")
+    return rounded(two_fine(spark, sf_dir).model, "w").select("class", "feature", "w")
 
 
 COARSE = (*FIRST_CLASS, "l0 AS (SELECT feature, sum(abs(w)) AS w FROM e0 GROUP BY feature)", top_sql("l0", MULTI.k, "m0"))
@@ -569,90 +601,123 @@ COARSE_SCORES = (
 )
 
 
-def first_coarse(spark, sf_dir):
-    return bt.coarse_step(half(classes(spark, sf_dir), 0), bt.State(), MULTI)
+COARSE_SECOND = (
+    class_deltas_sql("b1", "z1", MULTI, "d1"),
+    sketch_sql("d1", "s1", ", class", old="s0"),
+    estimate_sql("d1", "s1", MULTI, "e1", True),
+    "c1 AS (SELECT feature, sum(abs(w)) AS w FROM e1 GROUP BY feature UNION ALL SELECT feature, w FROM m0 WHERE feature NOT IN (SELECT feature FROM d1))",
+    top_sql("c1", MULTI.k, "m1"),
+)
 
 
-@query(
-    with_sql(
-        *COARSE,
-        *COARSE_SCORES,
-        class_deltas_sql("b1", "z1", MULTI, "d1"),
-        sketch_sql("d1", "s1", ", class", old="s0"),
-        estimate_sql("d1", "s1", MULTI, "e1", True),
-        "c1 AS (SELECT feature, sum(abs(w)) AS w FROM e1 GROUP BY feature UNION ALL SELECT feature, w FROM m0 WHERE feature NOT IN (SELECT feature FROM d1))",
-        top_sql("c1", MULTI.k, "m1"),
-        final=f"SELECT feature, {r6('w')} AS w FROM m1",
-    )
-)
+def two_coarse(spark, sf_dir):
+    return two_steps(bt.coarse_step, bt.State(), classes(spark, sf_dir), MULTI)
+
+
+@query(with_sql(*COARSE, *COARSE_SCORES, *COARSE_SECOND, final=f"SELECT feature, {r6('w')} AS w FROM m1"))
 def coarse_step(spark, sf_dir):
-    return rounded(bt.coarse_step(half(classes(spark, sf_dir), 1), first_coarse(spark, sf_dir), MULTI).model, "w")
+    return rounded(two_coarse(spark, sf_dir).model, "w")
+
+
+def _p_sql(model: str, name: str) -> str:
+    return f"{name} AS (SELECT example_id, label, 1 / (1 + exp(-sum(coalesce({model}.w, 0) * x))) AS p FROM ex LEFT JOIN {model} USING (feature) GROUP BY example_id, label)"
 
 
 @query(
     with_sql(
         HALVES,
         *_logistic_first(NUM),
-        "z1 AS (SELECT example_id, label, 1 / (1 + exp(-sum(coalesce(m0.w, 0) * x))) AS p FROM ex LEFT JOIN m0 USING (feature) GROUP BY example_id, label)",
-        "r AS (SELECT (example_id // 100)::BIGINT AS batch_id, CASE WHEN label = 1 THEN ln(p) ELSE ln(1 - p) END AS loss FROM z1)",
+        *_logistic_second(NUM),
+        _p_sql("m1", "zp"),
+        "r AS (SELECT (example_id // 100)::BIGINT AS batch_id, CASE WHEN label = 1 THEN ln(p) ELSE ln(1 - p) END AS loss FROM zp)",
         final=f"SELECT batch_id, (sum(count(*)) OVER (ORDER BY batch_id))::BIGINT AS cnt, {r6('-avg(loss)')} AS avg_loss FROM r GROUP BY batch_id",
     )
 )
 def batch_loss_log(spark, sf_dir):
-    e = numeric(spark, sf_dir)
-    model = bt.logistic_step(half(e, 0), bt.State(), NUM).model
-    scores = bt.logistic_scores(e, model)
+    scores = bt.logistic_scores(numeric(spark, sf_dir), two_logistic(spark, sf_dir).model)
     rows = scores.select(bt.batch_of(F.col("example_id") + 1, NUM.but(batch_rows=100)).alias("batch_id"), link.log_likelihood(F.col("label"), F.col("p")).alias("loss"))
     return rounded(bt.loss_log(rows), "avg_loss")
 
 
-# Prediction: trained on one half, applied to the other
+@query("SELECT batch_id, rows, (sum(rows) OVER (ORDER BY batch_id))::BIGINT AS rows_read FROM (SELECT (event_id // 1000)::BIGINT AS batch_id, count(DISTINCT event_id) AS rows FROM events GROUP BY 1)")
+def rows_read(spark, sf_dir):
+    """The reader's row counter, by batch."""
+    return bt.rows_read(numeric(spark, sf_dir), NUM.but(batch_rows=1000))
 
 
-@query(
-    with_sql(
-        HALVES,
-        *_logistic_first(NUM),
-        "z1 AS (SELECT example_id, label, sum(coalesce(m0.w, 0) * x) AS z FROM b1 LEFT JOIN m0 USING (feature) GROUP BY example_id, label)",
-        final=f"SELECT example_id, label, {r6('1 / (1 + exp(-z))')} AS p FROM z1",
-    )
-)
+# Prediction: trained on both batches, applied to all examples
+
+
+@query(with_sql(HALVES, *_logistic_first(NUM), *_logistic_second(NUM), _p_sql("m1", "zp"), final=f"SELECT example_id, label, {r6('p')} AS p FROM zp"))
 def predict_logistic(spark, sf_dir):
-    e = numeric(spark, sf_dir)
-    return rounded(bt.predict_logistic(half(e, 1), bt.logistic_step(half(e, 0), bt.State(), NUM).model), "p")
+    return rounded(bt.predict_logistic(numeric(spark, sf_dir), two_logistic(spark, sf_dir).model), "p")
+
+
+def _predict_sql(contributions: str, name: str = "zz") -> tuple[str, str]:
+    """Logits of all examples, rounded before they are compared, as the library compares them."""
+    return logits_sql("ex", contributions, name), f"{name}r AS (SELECT example_id, label, class, round(z, {RANK}) AS z FROM {name})"
 
 
-@query(with_sql(*HASHED, "zr AS (SELECT example_id, label, class, round(z, 12) AS z FROM z1)", final=predict_sql("zr")))
+@query(with_sql(*HASHED, *HASHED_SECOND, *_predict_sql("SELECT example_id, class, w * x AS w FROM ex JOIN bk USING (feature) JOIN t1 USING (b)"), final=predict_sql("zzr")))
 def predict_fh(spark, sf_dir):
-    return _predicted(bt.hashed_scores(half(classes(spark, sf_dir), 1), first_hashed(spark, sf_dir), MULTI))
+    return bt.predict_hashed(classes(spark, sf_dir), two_hashed(spark, sf_dir), MULTI)
 
 
-def _predicted(scores):
-    """Predictions from logits rounded before they are compared, as in the SQL."""
-    return bt.predictions(scores.withColumn("z", F.transform("z", lambda x: F.round(x, RANK))))
+@query(with_sql(*FINE, *FINE_SECOND, *_predict_sql("SELECT example_id, m1.class, w * x AS w FROM ex JOIN m1 USING (feature)"), final=predict_sql("zzr")))
+def predict_fine(spark, sf_dir):
+    return bt.predict_fine(classes(spark, sf_dir), two_fine(spark, sf_dir).model, MULTI)
 
 
 @query(
     with_sql(
-        *FINE,
-        logits_sql("b1", "SELECT example_id, m0.class, w * x AS w FROM b1 JOIN m0 USING (feature)", "z1"),
-        "zr AS (SELECT example_id, label, class, round(z, 12) AS z FROM z1)",
-        final=predict_sql("zr"),
+        *COARSE,
+        *COARSE_SCORES,
+        *COARSE_SECOND,
+        "aa AS (SELECT * FROM ex WHERE feature IN (SELECT feature FROM m1))",
+        estimate_sql("aa", "s1", MULTI, "qq", True),
+        *_predict_sql("SELECT example_id, class, w * x AS w FROM aa JOIN qq USING (feature)"),
+        final=predict_sql("zzr"),
     )
 )
-def predict_fine(spark, sf_dir):
-    e = half(classes(spark, sf_dir), 1)
-    model = first_fine(spark, sf_dir).model
-    hit = e.join(model, "feature").select("example_id", "class", (F.col("w") * F.col("x")).alias("w"))
-    return _predicted(bt.logits(hit, e, MULTI.n_classes))
+def predict_coarse(spark, sf_dir):
+    return bt.predict_coarse(classes(spark, sf_dir), two_coarse(spark, sf_dir), MULTI)
 
 
-@query(with_sql(*COARSE, *COARSE_SCORES, "zr AS (SELECT example_id, label, class, round(z, 12) AS z FROM z1)", final=predict_sql("zr")))
-def predict_coarse(spark, sf_dir):
-    return _predicted(bt.coarse_scores(half(classes(spark, sf_dir), 1), first_coarse(spark, sf_dir), MULTI))
+# Programs: train on one part after the other, validate on all examples after each
+
 
+@query(with_sql(HALVES, *_logistic_first(NUM), *_logistic_second(NUM), _p_sql("m0", "p0"), _p_sql("m1", "p1"), final=f"SELECT 0 AS epoch, example_id, label, {r6('p')} AS p FROM p0 UNION ALL SELECT 1, example_id, label, {r6('p')} FROM p1"))
+def epochs_logistic(spark, sf_dir):
+    e, keep = numeric(spark, sf_dir), keeper(spark)
+    step = lambda part, state: bt.logistic_step(part, state, NUM, keep=keep)
+    settle = lambda state, _: bt.State(state.sketch, keep(state.model, "model"))
+    out = bt.fit_validate([half(e, 0), half(e, 1)], e, step, bt.State(), lambda test, state: bt.predict_logistic(test, state.model), settle)
+    return rounded(out, "p").select("epoch", "example_id", "label", "p")
 
-# Ordered training (no SQL; tested against a plain trainer), persistence, streaming
+
+@query(
+    with_sql(
+        *COARSE,
+        *COARSE_SCORES,
+        *COARSE_SECOND,
+        "a0 AS (SELECT * FROM ex WHERE feature IN (SELECT feature FROM m0))",
+        estimate_sql("a0", "s0", MULTI, "q0", True),
+        *_predict_sql("SELECT example_id, class, w * x AS w FROM a0 JOIN q0 USING (feature)", "y0"),
+        "aa AS (SELECT * FROM ex WHERE feature IN (SELECT feature FROM m1))",
+        estimate_sql("aa", "s1", MULTI, "qq", True),
+        *_predict_sql("SELECT example_id, class, w * x AS w FROM aa JOIN qq USING (feature)", "y1"),
+        final=f"SELECT 0 AS epoch, * FROM ({predict_sql('y0r')}) UNION ALL SELECT 1, * FROM ({predict_sql('y1r')})",
+    )
+)
+def epochs_coarse(spark, sf_dir):
+    e, keep = classes(spark, sf_dir), keeper(spark)
+    step = lambda part, state: bt.coarse_step(part, state, MULTI, keep=keep)
+    settle = lambda state, _: bt.State(state.sketch, keep(state.model, "model"))
+    out = bt.fit_validate([half(e, 0), half(e, 1)], e, step, bt.State(), lambda test, state: bt.predict_coarse(test, state, MULTI), settle)
+    return out.select("epoch", "example_id", "label", "prediction")
+
+
+# Ordered training.  The heaps' order of equal weights has no SQL: these are tested against a plain trainer.
 
 
 @query()
@@ -671,24 +736,115 @@ def online_coarse(spark, sf_dir):
 
 
 @query()
+def parallel_logistic(spark, sf_dir):
+    """Four ordered workers, merged."""
+    return on.fit_parallel(numeric(spark, sf_dir), BIN.but(k=63), "logistic", 4)[1].select("feature", "w")
+
+
+# Plain hashed weights have no heap: the ordered trainer is a recursion over the examples, one a step.
+
+HASHED_RATE = MULTI.but(lr=0.05)
+
+
+def _ordered_hashed(parts: str, final: str) -> str:
+    """state: part, w (the weights after the part's last example, bucket by bucket); parts: a select of example_id, part."""
+    k, lr = MULTI.n_classes, HASHED_RATE.lr
+    row = lambda w, b: f"{w}[{b} * {k} + 1:{b} * {k} + {k}]"
+    put = lambda w, b: f"list_concat(list_concat({w}[1:{b} * {k}], [{row(w, b)}[j] + d[j] FOR j IN range(1, {k + 1})]), {w}[{b} * {k} + {k + 1}:])"
+    return "WITH RECURSIVE " + ",\n".join(
+        [
+            CLASSES,
+            bucket_sql(MULTI, "int"),
+            f"seq AS MATERIALIZED (SELECT row_number() OVER (ORDER BY part, example_id) AS i, part, label, b1, b2 FROM (SELECT example_id, label, arg_min(b, feature) AS b1, arg_max(b, feature) AS b2 FROM ex JOIN bk USING (feature) GROUP BY ALL) JOIN ({parts}) USING (example_id))",
+            f"""state(part, i, w) USING KEY (part) AS (
+  SELECT -1::BIGINT, 0::BIGINT, [0.0::DOUBLE FOR j IN range({MULTI.n_buckets * k})]
+  UNION ALL
+  SELECT part, i, {put("w1", "b2")} FROM (
+    SELECT part, i, b2, d, {put("w", "b1")} AS w1 FROM (
+      SELECT part, i, b1, b2, w, [(e[j] / list_sum(e) - (j = label + 1)::INT) * -{lr}::DOUBLE FOR j IN range(1, {k + 1})] AS d FROM (
+        SELECT *, [exp(x - list_max(z)) FOR x IN z] AS e FROM (
+          SELECT s.part, s.i, s.label, s.b1, s.b2, t.w, [{row("t.w", "s.b1")}[j] + {row("t.w", "s.b2")}[j] FOR j IN range(1, {k + 1})] AS z FROM state t JOIN seq s ON s.i = t.i + 1)))))""",
+            final,
+        ]
+    )
+
+
+PREDICTED = f"""zr AS (
+  SELECT part AS epoch, example_id, label, unnest(range({MULTI.n_classes}))::INT AS class,
+    unnest([round(w[b1 * {MULTI.n_classes} + j] + w[b2 * {MULTI.n_classes} + j], {RANK}) FOR j IN range(1, {MULTI.n_classes + 1})]) AS z
+  FROM state CROSS JOIN (SELECT example_id, label, arg_min(b, feature) AS b1, arg_max(b, feature) AS b2 FROM ex JOIN bk USING (feature) GROUP BY ALL) WHERE part >= 0
+)
+SELECT epoch::INT AS epoch, example_id, label, CASE WHEN max(z) > 1.17549435e-38 THEN min(CASE WHEN z = top THEN class END) ELSE 0 END AS prediction
+FROM (SELECT *, max(z) OVER (PARTITION BY epoch, example_id) AS top FROM zr) GROUP BY epoch, example_id, label"""
+
+
+@query(
+    _ordered_hashed(
+        "SELECT event_id AS example_id, 0::BIGINT AS part FROM events",
+        f"cell AS (SELECT (unnest(range(len(w))) // {MULTI.n_classes})::INT AS b, (unnest(range(len(w))) % {MULTI.n_classes})::INT AS class, unnest(w) AS w FROM state WHERE part = 0)\nSELECT b, class, {r6('w')} AS w FROM cell WHERE w <> 0",
+    )
+)
 def online_hashed(spark, sf_dir):
-    return on.fit_online(classes(spark, sf_dir), MULTI, "hashed").select(F.col("feature").alias("b"), "class", "w")
+    return rounded(on.fit_online(classes(spark, sf_dir), HASHED_RATE, "hashed").select(F.col("feature").alias("b"), "class", "w"), "w")
+
+
+@query(_ordered_hashed("SELECT event_id AS example_id, 0::BIGINT AS part FROM events", PREDICTED))
+def train_test_hashed(spark, sf_dir):
+    """One pass in order, then predictions."""
+    e = classes(spark, sf_dir)
+    return on.fit_predict_online([e], e, HASHED_RATE, "hashed").select("epoch", "example_id", "label", "prediction")
+
+
+@query(_ordered_hashed("SELECT event_id AS example_id, event_id % 2 AS part FROM events", PREDICTED))
+def epochs_hashed(spark, sf_dir):
+    """Two parts in order, with predictions after each."""
+    e = classes(spark, sf_dir)
+    return on.fit_predict_online([half(e, 0), half(e, 1)], e, HASHED_RATE, "hashed").select("epoch", "example_id", "label", "prediction")
+
+
+# Persistence and streaming
+
+
+def _saved(spark, cfg, **tables):
+    path = f"{scratch(spark)}/model-{uuid.uuid4().hex}"
+    model_io.save(path, cfg, **tables)
+    return path
 
 
 @query(with_sql(*FIRST_STEP, top_sql("est", BIN.k, "model"), final="SELECT feature, w FROM model"))
 def model_roundtrip(spark, sf_dir):
-    path = f"{scratch(spark)}/model-{uuid.uuid4().hex}"
     state = _first_step(spark, sf_dir)
-    model_io.save(path, BIN, sketch=state.sketch, model=state.model)
-    return model_io.load(spark, path, BIN, "model")["model"]
+    return model_io.load(spark, _saved(spark, BIN, sketch=state.sketch, model=state.model), BIN, "model")["model"]
+
+
+@query(_quantity_sql(BIN, final="SELECT r, b, w FROM sketch"))
+def sketch_roundtrip(spark, sf_dir):
+    return model_io.load(spark, _saved(spark, BIN, sketch=sketch_build(spark, sf_dir)), BIN, "sketch")["sketch"]
+
+
+@query(with_sql(QUANTITY, bucket_sql(BIN, "int", "dl"), final="SELECT b, sum(delta) AS w FROM dl JOIN bk USING (feature) GROUP BY b"))
+def hashed_roundtrip(spark, sf_dir):
+    return model_io.load(spark, _saved(spark, BIN, hashed=hashed_table(spark, sf_dir)), BIN, "hashed")["hashed"]
+
+
+def _streamed(spark, sf_dir, batches):
+    """The trainer after a stream of one file per batch, one file a time."""
+    path = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
+    trainer = StreamTrainer(f"{path}/state", NUM, batch_files=1)
+    for batch in batches:
+        batch.coalesce(1).write.mode("append").parquet(f"{path}/in")
+    trainer.run(trainer.source(spark, "example_id long, label int, feature int, x double", f"{path}/in"), f"{path}/checkpoint")
+    return trainer
 
 
-@query(with_sql(HALVES, *_logistic_first(NUM, "ex"), final=f"SELECT feature, {r6('w')} AS w FROM m0"))
+@query(with_sql(NUMERIC, *_logistic_first(NUM, "ex"), final=f"SELECT feature, {r6('w')} AS w FROM m0"))
 def stream_logistic(spark, sf_dir):
     """The stream of one micro-batch of all examples."""
-    path = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
-    numeric(spark, sf_dir).write.parquet(f"{path}/in")
-    stream = spark.readStream.schema("example_id long, label int, feature int, x double").parquet(f"{path}/in")
-    trainer = StreamTrainer(f"{path}/state", NUM)
-    trainer.run(stream, f"{path}/checkpoint")
-    return rounded(trainer.state(spark, 0).model, "w")
+    return rounded(_streamed(spark, sf_dir, [numeric(spark, sf_dir)]).state(spark, 0).model, "w")
+
+
+@query(with_sql(HALVES, *_logistic_first(NUM), *_logistic_second(NUM), final=f"SELECT feature, {r6('w')} AS w FROM m1"))
+def stream_batches(spark, sf_dir):
+    """A stream of two micro-batches of one file each, with the state kept between them."""
+    e = numeric(spark, sf_dir)
+    return rounded(_streamed(spark, sf_dir, [half(e, 0), half(e, 1)]).state(spark, 1).model, "w")

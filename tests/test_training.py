@@ -174,3 +174,67 @@ def test_online_fine_fidelity_stores_sizes(spark):
     signed = {(r["class"], r.feature): r.w for r in on.fit_online(df, cfg, "fine").collect()}
     sizes = {(r["class"], r.feature): r.w for r in on.fit_online(df, cfg, "fine", fidelity=True).collect()}
     assert any(w < 0 for w in signed.values()) and sizes == pytest.approx({k: abs(v) for k, v in signed.items()})
+
+
+@pytest.mark.parametrize("workers", [1, 3])
+def test_parallel_workers_merge_by_sum_and_union(spark, workers):
+    rows, df = examples(spark, n=80)
+    sketch, model = on.fit_parallel(df, SMALL, "logistic", workers)
+    total, held = {}, set()
+    for w in range(workers):
+        mine = [r for r in rows if r[0] % workers == w]
+        held |= set(plain_logistic(mine, SMALL))
+        one = on.Logistic(SMALL)
+        by = {}
+        for i, y, f, x in mine:
+            by.setdefault(i, (y, []))[1].append((f, x))
+        for _, (y, fs) in sorted(by.items()):
+            spots = [place(f, SMALL) for f, _ in fs]
+            one.step(y, on.Example([f for f, _ in fs], np.array([x for _, x in fs]), np.array([[b for b, _ in p] for p in spots]), np.array([[s for _, s in p] for p in spots], float)))
+        for r, b, _, v in one.cells():
+            total[r, b] = total.get((r, b), 0.0) + v
+    got = {(r.r, r.b): r.w for r in sketch.collect()}
+    assert got.keys() == total.keys() and all(got[k] == pytest.approx(total[k], abs=1e-12) for k in total)
+    weight = {f: median(s * total.get((r, b), 0.0) for r, (b, s) in enumerate(place(f, SMALL))) for f in held}
+    best = sorted(weight, key=lambda f: (-round(abs(weight[f]), 12), f))[: SMALL.k]
+    assert {r.feature: r.w for r in model.collect()} == {f: pytest.approx(weight[f], abs=1e-12) for f in best}
+
+
+@pytest.mark.parametrize("kind", ["fine", "coarse", "hashed"])
+def test_one_parallel_worker_holds_what_the_ordered_trainer_holds(spark, kind):
+    cfg = SketchConfig(n_buckets=10_007, n_classes=3, k=6, lr=0.1)
+    _, df = examples(spark, n_classes=3)
+    ordered = {(r["class"], r.feature) for r in on.fit_online(df, cfg, kind).collect()}
+    assert {(r["class"], r.feature) for r in on.fit_parallel(df, cfg, kind, 1)[1].collect()} == ordered
+
+
+def test_stream_takes_a_file_at_a_time(spark, tmp_path):
+    _, df = examples(spark, n=30)
+    trainer = StreamTrainer(str(tmp_path / "state"), BIG, batch_files=1)
+    for k in range(3):
+        df.where(F.col("example_id") % 3 == k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    query = trainer.run(trainer.source(spark, df._jdf.schema().toDDL(), str(tmp_path / "in")), str(tmp_path / "checkpoint"))
+    assert query.lastProgress["batchId"] == 2
+    state = bt.State()
+    for k in range(3):
+        state = bt.logistic_step(df.where(F.col("example_id") % 3 == k), state, BIG)
+    got = {r.feature: r.w for r in trainer.state(spark, 2).model.collect()}
+    assert got == {r.feature: pytest.approx(r.w, abs=1e-12) for r in state.model.collect()}
+
+
+def test_banners_and_counters(spark):
+    _, df = examples(spark, n=25)
+    banners = []
+    parts = [df.where("example_id < 10"), df.where("example_id >= 10")]
+    out = bt.fit_validate(parts, df, lambda e, s: bt.logistic_step(e, s, BIG), bt.State(), lambda t, s: bt.predict_logistic(t, s.model), log=banners.append)
+    assert banners == ["Epoch: 0", "Validation: 0", "Epoch: 1", "Validation: 1"] and out.count() == 50
+    assert [(r.batch_id, r.rows, r.rows_read) for r in bt.rows_read(df, BIG.but(batch_rows=10)).orderBy("batch_id").collect()] == [(0, 10, 10), (1, 10, 20), (2, 5, 25)]
+
+
+def test_softmax_of_many_classes(spark):
+    from sketchweave.functions import link
+
+    z = np.random.default_rng(1).normal(size=(5, 193)) * 30
+    got = spark.createDataFrame([(v.tolist(),) for v in z], "z array<double>").select(link.softmax(F.col("z")).alias("p")).collect()
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    assert np.allclose([r.p for r in got], e / e.sum(axis=1, keepdims=True), atol=1e-12)
