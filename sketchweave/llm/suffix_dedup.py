@@ -3,16 +3,19 @@
 A byte goes if it lies in a string of ``least`` bytes that also starts in a
 document with a smaller id; strings are judged on the input.
 
-The text is cut into blocks that stay in one bucketed table; everything that is
-exchanged are packed messages between blocks and hash buckets:
-
-1. Blocks are cut at content-defined places.  Two neighbouring pieces that some
-   smaller document has as well settle all strings inside them, so copies are
-   collapsed before the index is built.
-2. Every string still open has an anchor, the smallest hash of the short grams
-   in it; equal strings have equal anchors.  Anchors met in one document only
-   settle their strings as unique.
-3. The passages around the other anchors meet in the anchor's bucket.  There a
+The text is cut into blocks that are written once; blocks and hash buckets
+exchange packed messages in three rounds (``exchange``), and hashes only ever
+narrow down what is compared:
+
+1. Blocks are cut at content-defined places.  The hashes of neighbouring pieces
+   and the anchors of all strings (the smallest hash of the short grams in a
+   string; equal strings have equal anchors) tell what other blocks may have.
+2. Pairs of pieces that others may have are compared on their bytes: where a
+   smaller document has them as well, all strings inside are settled, so copies
+   are collapsed before the index is built.  Of the other strings with a shared
+   anchor, fingerprints tell which others may have whole; this also spreads an
+   anchor that very many different strings share.
+3. The passages of the strings left meet in their anchor's bucket.  There a
    Burrows-Wheeler transform of the distinct passages is expanded breadth-first
    by backward extension; the boundaries of common prefixes are found by
    increasing length, up to ``least``, which leaves the classes of equal strings.
@@ -29,25 +32,24 @@ an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytehash
 from .bytehash import mix
-from .common import materialise, new_path, pick, shuffle_width
+from .common import Scratch, pick
+from .exchange import LAST, TextBlocks, bucket_cuts, replies, unpacked
 from .interval_expansion import classes
-from .ragged import positions, slices, utf8
+from .ragged import positions
 
 LEAST = 50
 #: Bytes of a gram; half the window in which a cutting place has the smallest gram hash; bytes of a block.
-GRAM, REACH, BLOCK = 24, 64, 1 << 20
+GRAM, REACH, BLOCK = 24, 64, 2 << 20
 SECOND = mix(bytehash.TABLE + np.uint64(99))
-LAST = np.iinfo(np.int64).max
+PAIR = [("a", np.uint64), ("b", np.uint32), ("id", np.int64)]
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -74,34 +76,67 @@ def group(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(change)
 
 
-def to_buckets(keys: np.ndarray, bits: int) -> np.ndarray:
-    """Bucket cuts of sorted 64-bit keys, by their top bits."""
-    return np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+def fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """32 bits of a hash beside those that name its bucket."""
+    return ((hashes >> np.uint64(16)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
+class Classes:
+    """Items (byte ranges) of a block by their bytes: class of each, smallest id, keys and a sample of each class.
+
+    Classes come in the order of their first key.
+    """
+
+    def __init__(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray, h1: np.ndarray, h2: np.ndarray, ids: np.ndarray):
+        while True:
+            order, begin = group([h1, h2])
+            self.of = np.empty(len(h1), np.int64)
+            self.of[order] = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(h1))))
+            self.sample = order[begin]
+            lead = self.sample[self.of] if len(h1) else self.of
+            more = np.flatnonzero(lead != np.arange(len(h1)))
+            odd = more[~equal_ranges(raw, start[lead[more]], end[lead[more]], start[more], end[more])]
+            if not len(odd):
+                break
+            # Equal hashes of other bytes: a key of their own.
+            h2 = h2.copy()
+            h2[odd] = mix(h2[odd] + mix(start[odd].astype(np.uint64) + np.uint64(1)))
+        self.lead = np.minimum.reduceat(ids[order], begin) if len(begin) else np.zeros(0, np.int64)
+        self.h1, self.h2 = h1[self.sample], h2[self.sample]
+        self.later = ids > self.lead[self.of] if len(h1) else np.zeros(0, bool)
+
+
+def equal_ranges(raw: np.ndarray, a: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_end: np.ndarray) -> np.ndarray:
+    """Whether each two byte ranges hold the same bytes."""
+    same = a_end - a == b_end - b
+    n = np.where(same, a_end - a, 0)
+    differs = np.append(0, np.cumsum(raw[positions(a, n)] != raw[positions(b, n)]))
+    ends = np.cumsum(n)
+    return same & (differs[ends] == differs[ends - n])
 
 
 class Block:
-    """Texts of a block and what each of them derives: pieces, anchors, passages.
+    """Texts of a block and what each of them derives: pieces, anchors, strings, passages.
 
     Everything is a function of the texts and of the replies so far, in a fixed
     order, so messages and their replies need no numbers.
     """
 
-    def __init__(self, raw: np.ndarray, sizes: np.ndarray, ids: np.ndarray, least: int, bits: int):
-        self.raw, self.sizes, self.ids, self.least, self.bits = raw, sizes, ids, least, bits
+    def __init__(self, raw: np.ndarray, sizes: np.ndarray, ids: np.ndarray, least: int, width: int):
+        self.raw, self.sizes, self.ids, self.least, self.width = raw, sizes, ids, least, width
         self.ends = np.cumsum(sizes)
         self.starts = self.ends - sizes
         n = len(raw)
-        self.prefix = bytehash.prefixes(raw)
-        p = self.prefix
+        self.prefix = p = bytehash.prefixes(raw)
         grams = max(0, n - GRAM + 1)
         self.gram = mix((p[GRAM:] - p[: n + 1 - GRAM]) * bytehash.powers(n)[1][:grams]) if grams else np.zeros(0, np.uint64)
-        self.key = (self.gram >> np.uint64(32) << np.uint64(32)) | np.arange(grams, dtype=np.uint64)
-        self.text_of = np.repeat(np.arange(len(sizes)), sizes)
-        valid = np.zeros(n, bool)
+        key = (self.gram >> np.uint64(32) << np.uint64(32)) | np.arange(grams, dtype=np.uint64)
+        self.text_of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        self.valid = np.zeros(n, bool)
         long = sizes >= least
-        valid[positions(self.starts[long], sizes[long] - least + 1)] = True
-        self.valid = valid
-        self._pieces()
+        self.valid[positions(self.starts[long], sizes[long] - least + 1)] = True
+        self._pieces(key)
+        self._anchors(key)
 
     def _hash(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not hasattr(self, "second"):
@@ -109,109 +144,150 @@ class Block:
         length = (end - start).astype(np.uint64)
         return mix(bytehash.ranges(self.prefix, start, end) + length), mix(bytehash.ranges(self.second, start, end) + length)
 
-    def _pieces(self) -> None:
-        """Pairs of neighbouring pieces: start, end; class of each; the class's smallest id."""
-        low = sliding_min(self.key, 2 * REACH + 1)
-        cut = np.flatnonzero(self.key[REACH : REACH + len(low)] == low) + REACH
+    def _inside(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Which strings lie in any of the ranges."""
+        n = len(self.raw) + 1
+        step = np.bincount(start, minlength=n) - np.bincount(end - self.least + 1, minlength=n)
+        return (np.cumsum(step[:-1]) > 0) & self.valid
+
+    def _pieces(self, key: np.ndarray) -> None:
+        """Pairs of neighbouring pieces and their classes."""
+        low = sliding_min(key, 2 * REACH + 1)
+        cut = np.flatnonzero(key[REACH : REACH + len(low)] == low) + REACH
         cut = np.unique(np.concatenate([cut, self.starts[self.sizes > 0]]))
-        of = self.text_of[cut] if len(cut) else cut
+        of = self.text_of[cut].astype(np.int64) if len(cut) else cut
         end = lambda k: np.where(np.append(of[k:], np.full(min(k, len(of)), -1)) == of, np.append(cut[k:], np.zeros(min(k, len(of)), np.int64)), self.ends[of])
         one, two = end(1), end(2)
         whole = (cut == self.starts[of]) if len(cut) else np.zeros(0, bool)
         use = ((one < self.ends[of]) | whole) & (two - cut >= self.least) if len(cut) else whole
-        self.pair = (cut[use], two[use], of[use])
-        h1, h2 = self._hash(cut[use], two[use])
-        self._classes("pair", h1, h2, self.ids[of[use]])
-
-    def _classes(self, name: str, h1: np.ndarray, h2: np.ndarray, ids: np.ndarray) -> None:
-        order, begin = group([h1, h2, ids])
-        same, first = group([h1, h2])
-        number = np.empty(len(h1), np.int64)
-        number[same] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(h1))))
-        lead = np.zeros(len(first), np.int64)
-        if len(first):
-            lead = np.minimum.reduceat(ids[same], first)
-        setattr(self, name + "_class", number)
-        setattr(self, name + "_lead", lead)
-        setattr(self, name + "_keys", (h1[same[first]], h2[same[first]]))
-        setattr(self, name + "_sample", same[first])
-
-    def pair_message(self):
-        h1, h2 = self.pair_keys
-        rows = np.empty(len(h1), [("a", np.uint64), ("b", np.uint32), ("id", np.int64)])
-        rows["a"], rows["b"], rows["id"] = h1, h2 >> np.uint64(32), self.pair_lead
-        return [rows[i:j].tobytes() for i, j in cut_pairs(to_buckets(h1, self.bits))]
-
-    def settle_pairs(self, bits: np.ndarray) -> None:
-        """bits: whether a class's smallest id here isn't the smallest of all."""
-        start, end, of = self.pair
-        gone = bits[self.pair_class] | (self.ids[of] > self.pair_lead[self.pair_class])
-        step = np.zeros(len(self.raw) + 1, np.int64)
-        np.add.at(step, start[gone], 1)
-        np.add.at(step, end[gone] - self.least + 1, -1)
-        self.removed = (np.cumsum(step[:-1]) > 0) & self.valid
-        self._anchors()
-
-    def _anchors(self) -> None:
-        """Runs of strings with one anchor, where one is still open: first, last, anchor."""
-        low = sliding_min(self.key, self.least - GRAM + 1)
-        at = np.flatnonzero(self.valid)
-        anchor = (low[at] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        change = np.append(True, (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1) | (self.text_of[at[1:]] != self.text_of[at[:-1]])) if len(at) else np.zeros(0, bool)
-        begin = np.flatnonzero(change)
-        last = np.append(begin[1:], len(at)) - 1
-        open_ = np.append(0, np.cumsum(~self.removed[at]))
-        use = open_[last + 1] > open_[begin]
-        self.run = (at[begin[use]], at[last[use]], self.gram[anchor[begin[use]]])
-        self.anchors, self.anchor_of = np.unique(self.run[2], return_inverse=True)
-
-    def anchor_message(self):
-        rest = ((self.anchors << np.uint64(self.bits)) >> np.uint64(32)).astype(np.uint32)
-        return [rest[i:j].tobytes() for i, j in cut_pairs(to_buckets(self.anchors, self.bits))]
-
-    def settle_anchors(self, bits: np.ndarray) -> None:
-        """bits: whether an anchor occurs in another block."""
-        first, last, v = self.run
-        ids = self.ids[self.text_of[first]] if len(first) else np.zeros(0, np.int64)
-        shared = bits.copy()
+        self.start, self.end = cut[use], two[use]
+        self.pairs = Classes(self.raw, self.start, self.end, *self._hash(self.start, self.end), self.ids[of[use]])
+        # Settled within the block already.
+        gone = self.pairs.later
+        self.removed = self._inside(self.start[gone], self.end[gone])
+
+    def _anchors(self, key: np.ndarray) -> None:
+        """Runs of strings with one anchor: places of all strings, run of each, anchor of each run."""
+        low = sliding_min(key, self.least - GRAM + 1)
+        self.at = np.flatnonzero(self.valid)
+        anchor = (low[self.at] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        change = np.append(True, (anchor[1:] != anchor[:-1]) | (self.at[1:] != self.at[:-1] + 1) | (self.text_of[self.at[1:]] != self.text_of[self.at[:-1]])) if len(self.at) else np.zeros(0, bool)
+        self.run_of = np.cumsum(change) - 1
+        first = np.flatnonzero(change)
+        # Mixed anew, as the smallest hashes of windows are small ones and would meet in the first buckets.
+        self.run_anchor = mix(self.gram[anchor[first]])
+        self.anchors, self.anchor_of = np.unique(self.run_anchor, return_inverse=True)
+        # In several documents of this block.
         order, begin = group([self.anchor_of])
-        if len(begin):
-            shared |= np.minimum.reduceat(ids[order], begin) != np.maximum.reduceat(ids[order], begin)
-        use = shared[self.anchor_of] if len(first) else np.zeros(0, bool)
-        self.passage = (first[use], last[use] + self.least)
-        v, ids = v[use], ids[use]
-        h1, h2 = self._hash(*self.passage)
-        # Sorted by anchor first, so that the classes come in the order of the buckets.
-        top = (v >> np.uint64(64 - self.bits) << np.uint64(64 - self.bits)) | (h1 >> np.uint64(self.bits))
-        self._classes("passage", top, h2, ids)
-        gone = ids > self.passage_lead[self.passage_class] if len(ids) else np.zeros(0, bool)
-        a, b = self.passage
+        ids = self.ids[self.text_of[self.at[first]]][order]
+        self.here = np.minimum.reduceat(ids, begin) != np.maximum.reduceat(ids, begin) if len(begin) else np.zeros(0, bool)
+
+    # Round 1: which pairs and anchors other blocks may have.
+
+    def ask_hashes(self) -> list[bytes]:
+        c = self.pairs
+        rows = np.empty(len(c.h1), PAIR)
+        rows["a"], rows["b"], rows["id"] = c.h1, c.h2 >> np.uint64(32), c.lead
+        marks = fingerprint(self.anchors)
+        cuts = zip(bucket_cuts(c.h1, self.width), bucket_cuts(self.anchors, self.width))
+        return [np.uint32(j - i).tobytes() + rows[i:j].tobytes() + marks[k:m].tobytes() if j > i or m > k else b"" for (i, j), (k, m) in cuts]
+
+    def take_hashes(self, found: dict[int, np.ndarray]) -> None:
+        cuts = list(zip(bucket_cuts(self.pairs.h1, self.width), bucket_cuts(self.anchors, self.width)))
+        shared, gone, anchors = [], [], []
+        for bucket, ((i, j), (k, m)) in enumerate(cuts):
+            bits = found.get(bucket, np.zeros(0, bool))
+            shared.append(bits[: j - i]), gone.append(bits[j - i : 2 * (j - i)]), anchors.append(bits[2 * (j - i) :])
+        join = lambda x: np.concatenate(x) if x else np.zeros(0, bool)
+        self.shared_pairs, gone = np.flatnonzero(join(shared)), join(gone)
+        other = gone[self.pairs.of] if len(self.start) else np.zeros(0, bool)
+        # Strings that a smaller document of another block seems to have.
+        self.maybe = self._inside(self.start[other], self.end[other])
+        self.asked = (join(anchors) | self.here)[self.anchor_of][self.run_of] if len(self.at) else np.zeros(0, bool)
+        use = self.asked & ~self.removed[self.at] & ~self.maybe[self.at]
+        self.strings = self.at[use]
+        h = mix(bytehash.ranges(self.prefix, self.strings, self.strings + self.least))
+        order = np.argsort(h)
+        sorted_ = h[order]
+        begin = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])) if len(h) else np.zeros(0, np.int64)
+        self.string_of = np.empty(len(h), np.int64)
+        self.string_of[order] = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(h))))
+        self.string_keys = sorted_[begin]
+        ids = self.ids[self.text_of[self.strings[order]]]
+        self.string_here = np.minimum.reduceat(ids, begin) != np.maximum.reduceat(ids, begin) if len(begin) else np.zeros(0, bool)
+
+    # Round 2: the bytes of shared pairs, and which strings other blocks may have.
+
+    def ask_bytes(self) -> list[bytes]:
+        c, k = self.pairs, self.shared_pairs
+        a, n, lead = self.start[c.sample[k]], (self.end - self.start)[c.sample[k]], c.lead[k]
+        marks = fingerprint(self.string_keys)
+        out = []
+        for (i, j), (x, y) in zip(bucket_cuts(c.h1[k], self.width), bucket_cuts(self.string_keys, self.width)):
+            body = self.raw[positions(a[i:j], n[i:j])].tobytes()
+            out.append(np.uint32(j - i).tobytes() + n[i:j].astype(np.uint32).tobytes() + lead[i:j].tobytes() + body + marks[x:y].tobytes() if j > i or y > x else b"")
+        return out
+
+    def take_bytes(self, found: dict[int, np.ndarray]) -> None:
+        gone, shared = np.zeros(len(self.pairs.h1), bool), np.zeros(len(self.string_keys), bool)
+        k = self.shared_pairs
+        for bucket, ((i, j), (x, y)) in enumerate(zip(bucket_cuts(self.pairs.h1[k], self.width), bucket_cuts(self.string_keys, self.width))):
+            bits = found.get(bucket, np.zeros(0, bool))
+            if len(bits):
+                gone[k[i:j]], shared[x:y] = bits[: j - i], bits[j - i :]
+        other = gone[self.pairs.of] if len(self.start) else np.zeros(0, bool)
+        self.removed |= self._inside(self.start[other], self.end[other])
+        open_ = np.zeros(len(self.raw), bool)
+        open_[self.strings[(shared | self.string_here)[self.string_of]]] = True
+        # What only seemed to be settled is open after all.
+        open_[self.at[self.asked]] |= self.maybe[self.at[self.asked]]
+        open_ &= ~self.removed
+        use = open_[self.at]
+        at, run = self.at[use], self.run_of[use]
+        change = np.append(True, (at[1:] != at[:-1] + 1) | (run[1:] != run[:-1])) if len(at) else np.zeros(0, bool)
+        first = np.flatnonzero(change)
+        last = np.append(first[1:], len(at)) - 1
+        a, b = (at[first], at[last] + self.least) if len(at) else (at, at)
+        v, ids = self.run_anchor[run[first]], self.ids[self.text_of[a]]
+        h1, h2 = self._hash(a, b)
+        # The bucket of the anchor comes first in the order of the classes.
+        step = -(-(1 << 64) // self.width)
+        bounds = np.array([i * step for i in range(1, self.width)], np.uint64)
+        top = np.searchsorted(bounds, v, side="right").astype(np.uint64) << np.uint64(40)
+        self.passage = (a, b)
+        self.passages = Classes(self.raw, a, b, top | (h1 >> np.uint64(24)), h2, ids)
+        gone = self.passages.later
         self.removed[positions(a[gone], b[gone] - a[gone] - self.least + 1)] = True
 
-    def passage_message(self):
-        a, b = (x[self.passage_sample] for x in self.passage)
+    # Round 3: the passages.
+
+    def _passage_cuts(self) -> list[tuple[int, int]]:
+        cuts = np.searchsorted(self.passages.h1 >> np.uint64(40), np.arange(self.width + 1, dtype=np.uint64))
+        return list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+
+    def ask_passages(self) -> list[bytes]:
+        a, b = (x[self.passages.sample] for x in self.passage)
         out = []
-        for i, j in cut_pairs(to_buckets(self.passage_keys[0], self.bits)):
+        for i, j in self._passage_cuts():
             n = (b[i:j] - a[i:j]).astype(np.uint32)
-            body = self.raw[positions(a[i:j], n)]
-            out.append(np.uint32(j - i).tobytes() + n.tobytes() + self.passage_lead[i:j].tobytes() + body.tobytes() if j > i else b"")
+            out.append(np.uint32(j - i).tobytes() + n.tobytes() + self.passages.lead[i:j].tobytes() + self.raw[positions(a[i:j], n)].tobytes() if j > i else b"")
         return out
 
-    def settle_passages(self, bits: np.ndarray) -> None:
-        """bits: for every string of every class, whether a smaller id has it in another block."""
+    def take_passages(self, found: dict[int, np.ndarray]) -> None:
+        """Bits for every string of every class: whether a smaller id has it in another passage."""
+        bits = np.concatenate([found[k] for k in sorted(found)] or [np.zeros(0, bool)])
         a, b = self.passage
         n = b - a - self.least + 1
-        per_class = n[self.passage_sample]
+        per_class = n[self.passages.sample]
         begin = np.cumsum(per_class) - per_class
-        here = bits[positions(begin[self.passage_class], n)]
-        self.removed[positions(a, n)[here]] = True
+        self.removed[positions(a, n)[bits[positions(begin[self.passages.of], n)]]] = True
 
     def result(self):
-        """Per text: removed bytes, removed spans, SHA-256 of the rest."""
+        """Per text: removed bytes, removed spans, what is left."""
         step = np.zeros(len(self.raw) + 1, np.int64)
         at = np.flatnonzero(self.removed)
         step[at] += 1
-        step[: len(self.raw) + 1] -= np.bincount(at + self.least, minlength=len(self.raw) + 1)[: len(self.raw) + 1]
+        step -= np.bincount(at + self.least, minlength=len(self.raw) + 1)[: len(self.raw) + 1]
         gone = np.cumsum(step[:-1]) > 0
         first = gone.copy()
         first[1:] &= ~(gone[:-1] & (self.text_of[1:] == self.text_of[:-1]))
@@ -222,27 +298,52 @@ class Block:
         return total[self.ends] - total[self.starts], spans[self.ends] - spans[self.starts], [keep[kept[a] : kept[b]] for a, b in zip(self.starts, self.ends)]
 
 
-def cut_pairs(cuts: np.ndarray):
-    return list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+def packed_bits(found: list[np.ndarray]) -> list[tuple[int, bytes]]:
+    return [(len(f), np.packbits(f).tobytes()) for f in found]
 
 
-def shared_pairs(blobs: list[bytes]) -> list[np.ndarray]:
-    e = np.frombuffer(b"".join(blobs), [("a", np.uint64), ("b", np.uint32), ("id", np.int64)])
+def met_elsewhere(marks: list[np.ndarray]) -> np.ndarray:
+    """For the marks of every block, one after the other: whether another block has the mark."""
+    every = np.concatenate(marks) if marks else np.zeros(0, np.uint32)
+    order = np.argsort(every)
+    every = every[order]
+    begin = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, np.int64)
+    count = np.diff(np.append(begin, len(every)))
+    out = np.zeros(len(every), bool)
+    out[order] = np.repeat(count > 1, count)
+    return out
+
+
+def solve_hashes(blobs: list[bytes]) -> list[tuple[int, bytes]]:
+    n = [int(np.frombuffer(b[:4], np.uint32)[0]) for b in blobs]
+    e = np.concatenate([np.frombuffer(b, PAIR, k, 4) for b, k in zip(blobs, n)])
+    marks = [np.frombuffer(b, np.uint32, offset=4 + 20 * k) for b, k in zip(blobs, n)]
     order, begin = group([e["a"], e["b"]])
-    out = np.zeros(len(e), bool)
+    shared, gone = np.zeros(len(e), bool), np.zeros(len(e), bool)
     if len(e):
+        count = np.diff(np.append(begin, len(e)))
         low = np.minimum.reduceat(e["id"][order], begin)
-        out[order] = e["id"][order] > np.repeat(low, np.diff(np.append(begin, len(e))))
-    return np.split(out, np.cumsum([len(b) // 20 for b in blobs])[:-1])
+        shared[order], gone[order] = np.repeat(count > 1, count), e["id"][order] > np.repeat(low, count)
+    cuts = np.cumsum(n)[:-1]
+    anchors = np.split(met_elsewhere(marks), np.cumsum([len(m) for m in marks])[:-1])
+    return packed_bits([np.concatenate(x) for x in zip(np.split(shared, cuts), np.split(gone, cuts), anchors)])
 
 
-def shared_anchors(blobs: list[bytes]) -> list[np.ndarray]:
-    e = np.frombuffer(b"".join(blobs), np.uint32)
-    order, begin = group([e])
-    out = np.zeros(len(e), bool)
-    count = np.diff(np.append(begin, len(e)))
-    out[order] = np.repeat(count > 1, count)
-    return np.split(out, np.cumsum([len(b) // 4 for b in blobs])[:-1])
+def solve_bytes(blobs: list[bytes]) -> list[tuple[int, bytes]]:
+    low: dict[bytes, int] = {}
+    items, marks = [], []
+    for blob in blobs:
+        k = int(np.frombuffer(blob[:4], np.uint32)[0])
+        ends = np.append(0, np.cumsum(np.frombuffer(blob, np.uint32, k, 4), dtype=np.int64)) + 4 + 12 * k
+        ids, at = np.frombuffer(blob, np.int64, k, 4 + 4 * k).tolist(), ends.tolist()
+        texts = [blob[x:y] for x, y in zip(at[:-1], at[1:])]
+        for text, i in zip(texts, ids):
+            if low.setdefault(text, i) > i:
+                low[text] = i
+        items.append((texts, ids))
+        marks.append(np.frombuffer(blob[at[-1] :], np.uint32))
+    strings = np.split(met_elsewhere(marks), np.cumsum([len(m) for m in marks])[:-1])
+    return packed_bits([np.concatenate([np.array([low[t] < i for t, i in zip(*x)], bool), y]) for x, y in zip(items, strings)])
 
 
 def repeated_strings(blobs: list[bytes], least: int) -> list[np.ndarray]:
@@ -274,97 +375,34 @@ def repeated_strings(blobs: list[bytes], least: int) -> list[np.ndarray]:
     return np.split(low[flat] < owner, np.cumsum(counts)[:-1])
 
 
-def blocks_of(docs: DataFrame, size: int) -> DataFrame:
-    """docs: id, text.  One row per block of texts: block, ids, sizes, text (packed)."""
-
-    def run(batches):
-        context = TaskContext.get()
-        number = (context.partitionId() if context else 0) << 24
-        for batch in batches:
-            for a, b in slices(batch.column(1), size):
-                part = batch.slice(a, b - a)
-                raw, offsets = utf8(part.column(1))
-                ids = np.asarray(part.column(0).fill_null(LAST)).astype(np.int64)
-                null = np.asarray(part.column(0).is_null())
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *[pa.array([x.tobytes()], pa.binary()) for x in (ids, null, np.diff(offsets), raw)]], names=["block", "ids", "null", "sizes", "text"])
-                number += 1
-
-    return docs.mapInArrow(run, "block long, ids binary, null binary, sizes binary, text binary")
-
-
-def bucketed(df: DataFrame, buckets: int) -> DataFrame:
-    """Written once, by block, so that no later join shuffles the texts."""
-    spark, name = df.sparkSession, f"blocks_{uuid.uuid4().hex[:12]}"
-    df.repartition(buckets, "block").write.option("path", new_path(spark, "blocks")).option("compression", "zstd").bucketBy(buckets, "block").saveAsTable(name)
-    return spark.table(name)
+ROUNDS = ((Block.ask_hashes, Block.take_hashes), (Block.ask_bytes, Block.take_bytes), (Block.ask_passages, Block.take_passages))
 
 
 def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, block: int = BLOCK) -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans, kept (bytes), kept_sha256."""
     if least <= GRAM:
         raise ValueError(f"least must be over {GRAM}")
-    spark = df.sparkSession
-    width = shuffle_width(spark)
-    bits = max(1, (width * 8 - 1).bit_length())
     docs = pick(df, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), "text")
-    table = bucketed(blocks_of(docs, block), width)
-
-    def load(row) -> Block:
-        raw, sizes, ids = (np.frombuffer(row[k], t) for k, t in (("text", np.uint8), ("sizes", np.int64), ("ids", np.int64)))
-        return Block(raw, sizes, ids, least, bits)
-
-    def joined(replies: list[np.ndarray]) -> np.ndarray:
-        return np.concatenate([np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=r["n"]) for r in sorted(replies or [], key=lambda r: r["bucket"])] or [np.zeros(0, np.uint8)]).astype(bool)
-
-    def stage(source: DataFrame, steps: int, message: str):
-        def run(batches):
-            for batch in batches:
-                for row in batch.to_pylist():
-                    b = load(row)
-                    for k, settle in zip(range(steps), (b.settle_pairs, b.settle_anchors)):
-                        settle(joined(row[f"r{k}"]))
-                    out = [(i, blob) for i, blob in enumerate(getattr(b, message)()) if blob]
-                    yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.int64()), pa.array([row["block"]] * len(out), pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["bucket", "block", "blob"])
-
-        return source.mapInArrow(run, "bucket long, block long, blob binary")
-
-    def answer(messages: DataFrame, solve) -> DataFrame:
-        def run(batches):
-            def replies(now, held):
-                found = solve([x for _, x in held])
-                packed = [np.packbits(f).tobytes() for f in found]
-                return pa.RecordBatch.from_arrays([pa.array([b for b, _ in held], pa.int64()), pa.array([now] * len(held), pa.int64()), pa.array([len(f) for f in found], pa.int64()), pa.array(packed, pa.binary())], names=["block", "bucket", "n", "bits"])
-
-            now, held = None, []
-            for batch in batches:
-                for bucket, number, blob in zip(*[c.to_pylist() for c in batch.columns]):
-                    if bucket != now and held:
-                        yield replies(now, held)
-                        held = []
-                    now = bucket
-                    held.append((number, blob))
-            if held:
-                yield replies(now, held)
-
-        dealt = messages.repartition(width, "bucket").sortWithinPartitions("bucket")
-        return dealt.mapInArrow(run, "block long, bucket long, n long, bits binary")
-
-    source = table
-    for k, (message, solve) in enumerate((("pair_message", shared_pairs), ("anchor_message", shared_anchors), ("passage_message", lambda x: repeated_strings(x, least)))):
-        replies = materialise(answer(stage(source, k, message), solve), f"replies-{k}")
-        gathered = replies.groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "bits")).alias(f"r{k}"))
-        source = source.join(gathered.hint("shuffle_hash"), "block", "left")
+    blocks = TextBlocks(docs, block, Scratch(df.sparkSession, "substrings"))
+    width = blocks.width
+
+    def load(row, rounds: int) -> tuple[Block, np.ndarray]:
+        ids, null, sizes, raw = unpacked(row)
+        b = Block(raw, sizes, ids, least, width)
+        for k in range(rounds):
+            ROUNDS[k][1](b, {r["bucket"]: np.unpackbits(np.frombuffer(r["data"], np.uint8), count=r["n"]).astype(bool) for r in replies(row, k)})
+        return b, null
+
+    for k, solve in enumerate((solve_hashes, solve_bytes, lambda blobs: packed_bits(repeated_strings(blobs, least)))):
+        blocks.ask(lambda row, k=k: ROUNDS[k][0](load(row, k)[0]), solve)
 
     def final(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                b = load(row)
-                b.settle_pairs(joined(row["r0"]))
-                b.settle_anchors(joined(row["r1"]))
-                b.settle_passages(joined(row["r2"]))
+                b, null = load(row, len(ROUNDS))
                 removed, spans, kept = b.result()
-                ids = pa.array(b.ids, pa.int64(), mask=np.frombuffer(row["null"], bool))
+                ids = pa.array(b.ids, pa.int64(), mask=null)
                 yield pa.RecordBatch.from_arrays([ids, *[pa.array(x, pa.int64()) for x in (b.sizes, removed, spans)], pa.array(kept, pa.binary()), pa.array([hashlib.sha256(x).hexdigest() for x in kept])], names=["id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
-    out = source.mapInArrow(final, "id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    out = blocks.rows.mapInArrow(final, "id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
     return out.withColumnRenamed("id", id_col)
