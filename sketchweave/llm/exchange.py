@@ -81,18 +81,21 @@ class TextBlocks:
         spark.sql(f"DROP TABLE {name}")
 
     def ask(self, messages: Callable, solve: Callable) -> None:
-        """messages(row): a blob per bucket, empty for none.  solve(blobs of one bucket): (n, reply) for each of them."""
+        """messages(row): a blob per bucket, empty for none, and one more if the block has notes for itself,
+        which come back as the reply of bucket ``width``.  solve(blobs of one bucket): (n, reply) for each of them."""
+        width = self.width
 
         def send(batches):
             for batch in batches:
                 for row in batch.to_pylist():
-                    out = [(i, blob) for i, blob in enumerate(messages(row)) if blob]
+                    # Notes lie beside the buckets, dealt by block.
+                    out = [(i if i < width else width + row["block"] % width, blob) for i, blob in enumerate(messages(row)) if blob]
                     yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in out], pa.int64()), pa.array([row["block"]] * len(out), pa.int64()), pa.array([x for _, x in out], pa.binary())], names=["bucket", "block", "blob"])
 
         def answer(batches):
             def solved(bucket, held):
-                found = solve([x for _, x in held])
-                return pa.RecordBatch.from_arrays([pa.array([b for b, _ in held], pa.int64()), pa.array([bucket] * len(held), pa.int64()), pa.array([n for n, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["block", "bucket", "n", "data"])
+                found = solve([x for _, x in held]) if bucket < width else [(0, x) for _, x in held]
+                return pa.RecordBatch.from_arrays([pa.array([b for b, _ in held], pa.int64()), pa.array([min(bucket, width)] * len(held), pa.int64()), pa.array([n for n, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["block", "bucket", "n", "data"])
 
             now, held = None, []
             for batch in batches:

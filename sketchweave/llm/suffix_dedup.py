@@ -266,36 +266,43 @@ class Block:
         return list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
 
     def ask_passages(self) -> list[bytes]:
-        a, b = (x[self.passages.sample] for x in self.passage)
+        """The messages, and for the block itself all that the result needs beside the replies."""
+        c = self.passages
+        a, b = (x[c.sample] for x in self.passage)
         out = []
         for i, j in self._passage_cuts():
             n = (b[i:j] - a[i:j]).astype(np.uint32)
-            out.append(np.uint32(j - i).tobytes() + n.tobytes() + self.passages.lead[i:j].tobytes() + self.raw[positions(a[i:j], n)].tobytes() if j > i else b"")
-        return out
+            out.append(np.uint32(j - i).tobytes() + n.tobytes() + c.lead[i:j].tobytes() + self.raw[positions(a[i:j], n)].tobytes() if j > i else b"")
+        rows = np.stack([*self.passage, c.of]).astype(np.uint32)
+        return [*out, np.array([rows.shape[1], len(c.sample)], np.uint32).tobytes() + rows.tobytes() + c.sample.astype(np.uint32).tobytes() + np.packbits(self.removed).tobytes()]
+
+
+def removed_strings(notes: bytes, bits: np.ndarray, size: int, least: int) -> np.ndarray:
+    """Which strings of a block of ``size`` bytes go.  bits: for every string of every class of passages, whether a smaller id has it elsewhere."""
+    m, k = np.frombuffer(notes, np.uint32, 2).tolist()
+    a, b, of = np.frombuffer(notes, np.uint32, 3 * m, 8).astype(np.int64).reshape(3, m)
+    sample = np.frombuffer(notes, np.uint32, k, 8 + 12 * m)
+    out = np.unpackbits(np.frombuffer(notes, np.uint8, offset=8 + 12 * m + 4 * k), count=size).astype(bool)
+    n = b - a - least + 1
+    per_class = n[sample]
+    begin = np.cumsum(per_class) - per_class
+    out[positions(a, n)[bits[positions(begin[of], n)]]] = True
+    return out
 
-    def take_passages(self, found: dict[int, np.ndarray]) -> None:
-        """Bits for every string of every class: whether a smaller id has it in another passage."""
-        bits = np.concatenate([found[k] for k in sorted(found)] or [np.zeros(0, bool)])
-        a, b = self.passage
-        n = b - a - self.least + 1
-        per_class = n[self.passages.sample]
-        begin = np.cumsum(per_class) - per_class
-        self.removed[positions(a, n)[bits[positions(begin[self.passages.of], n)]]] = True
-
-    def result(self):
-        """Per text: removed bytes, removed spans, what is left."""
-        step = np.zeros(len(self.raw) + 1, np.int64)
-        at = np.flatnonzero(self.removed)
-        step[at] += 1
-        step -= np.bincount(at + self.least, minlength=len(self.raw) + 1)[: len(self.raw) + 1]
-        gone = np.cumsum(step[:-1]) > 0
-        first = gone.copy()
-        first[1:] &= ~(gone[:-1] & (self.text_of[1:] == self.text_of[:-1]))
-        total = np.append(0, np.cumsum(gone))
-        spans = np.append(0, np.cumsum(first))
-        keep = self.raw[~gone].tobytes()
-        kept = np.append(0, np.cumsum(~gone))
-        return total[self.ends] - total[self.starts], spans[self.ends] - spans[self.starts], [keep[kept[a] : kept[b]] for a, b in zip(self.starts, self.ends)]
+
+def cut_out(raw: np.ndarray, sizes: np.ndarray, removed: np.ndarray, least: int):
+    """Per text: removed bytes, removed spans, what is left; removed: the strings that go, by their first byte."""
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    step = removed.astype(np.int8)
+    step[least:] -= removed[: len(raw) - least] if len(raw) > least else step[least:]
+    gone = np.cumsum(step, dtype=np.int32) > 0
+    before = np.append(False, gone[:-1]) if len(gone) else gone
+    before[starts[sizes > 0]] = False
+    total, spans = (np.append(0, np.cumsum(x, dtype=np.int32)) for x in (gone, gone & ~before))
+    keep = raw[~gone].tobytes()
+    places = zip((starts - total[starts]).tolist(), (ends - total[ends]).tolist())
+    return total[ends] - total[starts], spans[ends] - spans[starts], [keep[a:b] for a, b in places]
 
 
 def packed_bits(found: list[np.ndarray]) -> list[tuple[int, bytes]]:
@@ -375,7 +382,8 @@ def repeated_strings(blobs: list[bytes], least: int) -> list[np.ndarray]:
     return np.split(low[flat] < owner, np.cumsum(counts)[:-1])
 
 
-ROUNDS = ((Block.ask_hashes, Block.take_hashes), (Block.ask_bytes, Block.take_bytes), (Block.ask_passages, Block.take_passages))
+ASK = (Block.ask_hashes, Block.ask_bytes, Block.ask_passages)
+TAKE = (Block.take_hashes, Block.take_bytes)
 
 
 def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, block: int = BLOCK) -> DataFrame:
@@ -386,23 +394,26 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     blocks = TextBlocks(docs, block, Scratch(df.sparkSession, "substrings"))
     width = blocks.width
 
-    def load(row, rounds: int) -> tuple[Block, np.ndarray]:
-        ids, null, sizes, raw = unpacked(row)
+    bits = lambda r: np.unpackbits(np.frombuffer(r["data"], np.uint8), count=r["n"]).astype(bool)
+
+    def messages(row, k):
+        ids, _, sizes, raw = unpacked(row)
         b = Block(raw, sizes, ids, least, width)
-        for k in range(rounds):
-            ROUNDS[k][1](b, {r["bucket"]: np.unpackbits(np.frombuffer(r["data"], np.uint8), count=r["n"]).astype(bool) for r in replies(row, k)})
-        return b, null
+        for j in range(k):
+            TAKE[j](b, {r["bucket"]: bits(r) for r in replies(row, j)})
+        return ASK[k](b)
 
     for k, solve in enumerate((solve_hashes, solve_bytes, lambda blobs: packed_bits(repeated_strings(blobs, least)))):
-        blocks.ask(lambda row, k=k: ROUNDS[k][0](load(row, k)[0]), solve)
+        blocks.ask(lambda row, k=k: messages(row, k), solve)
 
     def final(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                b, null = load(row, len(ROUNDS))
-                removed, spans, kept = b.result()
-                ids = pa.array(b.ids, pa.int64(), mask=null)
-                yield pa.RecordBatch.from_arrays([ids, *[pa.array(x, pa.int64()) for x in (b.sizes, removed, spans)], pa.array(kept, pa.binary()), pa.array([hashlib.sha256(x).hexdigest() for x in kept])], names=["id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+                ids, null, sizes, raw = unpacked(row)
+                *found, notes = replies(row, 2)
+                gone = removed_strings(notes["data"], np.concatenate([np.zeros(0, bool), *map(bits, found)]), len(raw), least)
+                removed, spans, kept = cut_out(raw, sizes, gone, least)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=null), *[pa.array(x, pa.int64()) for x in (sizes, removed, spans)], pa.array(kept, pa.binary()), pa.array([hashlib.sha256(x).hexdigest() for x in kept])], names=["id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
     out = blocks.rows.mapInArrow(final, "id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
     return out.withColumnRenamed("id", id_col)
