@@ -14,7 +14,7 @@ source, or a hot size, is spread over all slots.
 Only DataFrame functions are used.
 
 Defined results: null text has size 0; a null source is a source of its own,
-the last one; a null id counts as 0 in the order; repeated rows are separate
+the last one; a row with a null id stands in the order by its size; repeated rows are separate
 rows; with no words at all every target is 0; extra columns are ignored.
 The number of sources is that of a mixing recipe (hundreds); all per-source
 work is on that aggregated table.
@@ -27,7 +27,7 @@ import random
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, pick
+from .common import Scratch, pick
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: A prime and a multiplier for the slot of an id; both fit exact 64-bit products.
@@ -75,12 +75,13 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     base = docs.select("id", "source", size.alias("size"))
     base = base.withColumn("key", F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("v"), "source")))
-    base = materialise(base.withColumn("cls", size_class(F.col("size"))), "mix-sizes")
+    scratch = Scratch(df.sparkSession, "mix")
+    base = scratch.table(base.withColumn("cls", size_class(F.col("size"))), "sizes")
     slots = max(SLOTS, base.count() // ROWS_PER_SLOT)
-    scrambled = F.pmod(F.pmod(F.coalesce("id", F.lit(0)), F.lit(PRIME)) * FACTOR, F.lit(PRIME)) % slots
+    scrambled = F.pmod(F.pmod(F.coalesce("id", "size"), F.lit(PRIME)) * FACTOR, F.lit(PRIME)) % slots
     base = base.withColumn("slot", scrambled)
 
-    groups = materialise(base.groupBy("key", "cls", "slot").agg(F.first("source").alias("source"), F.count("*").alias("n"), F.sum("size").alias("words")), "mix-groups")
+    groups = scratch.table(base.groupBy("key", "cls", "slot").agg(F.first("source").alias("source"), F.count("*").alias("n"), F.sum("size").alias("words")), "groups")
     classes = groups.groupBy("key", "cls").agg(F.first("source").alias("source"), F.sum("n").alias("n"), F.sum("words").alias("words"))
     totals = classes.groupBy("key").agg(F.first("source").alias("source"), F.sum("words").alias("source_size"))
     targets = source_targets(totals.select("source", "source_size"), weights, cap)
@@ -101,7 +102,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     index = F.col("offset") + F.col("row")
     u = F.lit(offset_of(seed))
     copies = F.least(F.floor(u + F.col("rate") * index) - F.floor(u + F.col("rate") * (index - 1)), F.ceil("rate"))
-    return (
+    return scratch.result(
         placed.withColumn("rate", rate)
         .withColumn("copies", copies.cast("long"))
         .select(F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))

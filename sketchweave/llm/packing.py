@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import bpe
 from .common import pick
@@ -163,6 +164,27 @@ def pack_documents(df: DataFrame, tokenizer_file: str, id_col: str = "doc_id", t
     return docs.mapInArrow(run, f"id {kind}, {PIECES}").withColumnRenamed("id", id_col)
 
 
+def conversation_examples(turns: DataFrame, tokenizer_file: str, id_col: str = "conv_id", role_col: str = "role", text_col: str = "text", loss_role: str = "assistant", end_id: int = 1) -> DataFrame:
+    """Per conversation: id, tokens (each turn's and an end token), loss_tokens (those of ``loss_role``'s turns).
+
+    A null text is empty, a turn without a role bears no loss, and turns without an id are one conversation.
+    """
+    rows = pick(turns, id=id_col, role=role_col, text=text_col).selectExpr("id", f"coalesce(role = '{loss_role}', false) AS loss", "text")
+
+    def run(batches):
+        coder = bpe.load(tokenizer_file)
+        for batch in batches:
+            for a, b in slices(batch.column(2), SLICE):
+                part = batch.slice(a, b - a)
+                n = coder.encode(part.column(2))[1] + 1
+                loss = np.asarray(part.column(1).to_numpy(zero_copy_only=False), bool)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(np.where(loss, n, 0), pa.int64())], names=["id", "tokens", "loss_tokens"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    counted = rows.mapInArrow(run, f"id {kind}, tokens long, loss_tokens long")
+    return counted.groupBy("id").agg(F.sum("tokens").alias("tokens"), F.sum("loss_tokens").alias("loss_tokens")).withColumnRenamed("id", id_col)
+
+
 def pack_examples(df: DataFrame, id_col: str, tokens_col: str, loss_col: str, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = TOKENS, window: int = 100_000) -> DataFrame:
     """Instruction examples, never cut, under all three limits: id, sequence_id, offset, tokens, loss_tokens.
 

@@ -10,7 +10,7 @@ from .jaccard_join import jaccard_components
 from .langid import identify
 from .license_scan import scan
 from .mixing import FACTOR, PRIME, ROWS_PER_SLOT, SLOTS, mix, offset_of
-from .packing import pack_documents
+from .packing import conversation_examples, pack_documents, pack_examples
 from .quality import classify
 from .suffix_dedup import dedup_substrings
 from .vector_dedup import near_vectors
@@ -34,6 +34,12 @@ def op2_pack_documents(spark, sf_dir):
     return pack_documents(_documents(spark, sf_dir), tokenizer_file())
 
 
+def pack_conversations(spark, sf_dir):
+    """Conversations under limits on tokens, segments and loss-bearing tokens at once."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return pack_examples(conversation_examples(turns, tokenizer_file()), "conv_id", "tokens", "loss_tokens", segments=16, loss=1024)
+
+
 def op3_quality(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     docs = _documents(spark, sf_dir).select("doc_id", "text")
@@ -79,6 +85,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_extract_html": op9_extract_html,
     "op10_jaccard_join": op10_jaccard_join,
+    "pack_conversations": pack_conversations,
 }
 
 ORACLE_SQL = {
@@ -87,7 +94,7 @@ WITH base AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
 ), classed AS (
   SELECT *, CASE WHEN size = 0 THEN 0 ELSE length(bin(size)) * 4 + ((size * 4) >> (length(bin(size)) - 1)::INT) % 4 END AS cls,
-    (coalesce(doc_id, 0) % {PRIME} + {PRIME}) % {PRIME} * {FACTOR} % {PRIME} % greatest({SLOTS}, (SELECT count(*) // {ROWS_PER_SLOT} FROM documents)) AS slot
+    (coalesce(doc_id, size) % {PRIME} + {PRIME}) % {PRIME} * {FACTOR} % {PRIME} % greatest({SLOTS}, (SELECT count(*) // {ROWS_PER_SLOT} FROM documents)) AS slot
   FROM base
 ), weighed AS (
   SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM base GROUP BY source

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from sketchweave.llm import exact_dedup as ed
 from sketchweave.llm import jaccard_join as jj
+from sketchweave.llm.common import Scratch
 from sketchweave.llm.components import components
 from sketchweave.llm.exact_dedup import exact_dedup
 from sketchweave.llm.html_extract import extract, extract_pages
@@ -21,7 +22,7 @@ from sketchweave.llm.jaccard_join import jaccard_components
 from sketchweave.llm.langid import identify
 from sketchweave.llm.license_scan import TEMPLATES, scan
 from sketchweave.llm.mixing import mix
-from sketchweave.llm.packing import pack_documents, pack_examples
+from sketchweave.llm.packing import conversation_examples, pack_documents, pack_examples
 from sketchweave.llm.quality import classify
 from sketchweave.llm.queries import op1_scan_licenses, tokenizer_file
 from sketchweave.llm.suffix_dedup import dedup_substrings
@@ -90,6 +91,31 @@ def test_exact_dedup(spark, docs, keep, digest):
     assert exact_dedup(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("keep", ["max", "min"])
+def test_digest_index_merges_runs_by_level(spark, keep):
+    scratch, rng = Scratch(spark, "test"), random.Random(4)
+    index, rows = ed.DigestIndex(scratch, keep, fanout=3), []
+    for _ in range(8):
+        batch = [(rng.randrange(1000), f"d{rng.randrange(40)}") for _ in range(30)]
+        rows += batch
+        index.flush(spark.createDataFrame(batch, "id long, digest string"))
+        index.compact()
+    assert [len(level) for level in index.levels] == [2, 2]
+    best = max if keep == "max" else min
+    want = {d: (best(i for i, x in rows if x == d), sum(x == d for _, x in rows)) for _, d in rows}
+    assert {r.digest: (r.winner, r.n) for r in index.winners().collect()} == want
+    index.compact(whole=True)
+    assert sum(map(len, index.levels)) == 1 and {r.digest: (r.winner, r.n) for r in index.winners().collect()} == want
+
+
+@pytest.mark.parametrize("n", [0, 1, 500])
+def test_digest_filter_misses_nothing(spark, n):
+    digests = spark.range(n).select(F.sha2(F.col("id").cast("string"), 256).alias("digest"))
+    every = spark.range(20_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("digest"))
+    got = {r.id for r in ed.DigestFilter(digests, n).probe(every).collect()}
+    assert set(range(n)) <= got and len(got) <= n + 20_000 * 0.12
+
+
 def test_mixing(spark, docs):
     got = mix(docs).collect()
     sizes = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in pairs(docs)}
@@ -149,6 +175,30 @@ def test_packing_examples(spark):
         assert len(rs) == 1 or sum(r.tokens for r in rs) <= 2048 and sum(r.loss_tokens for r in rs) <= 700 and len(rs) <= 8
 
 
+def test_packing_conversations(spark):
+    from tokenizers import Tokenizer
+
+    coder = Tokenizer.from_file(tokenizer_file())
+    turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    odd = [(9001, 0, "assistant", None), (9001, 1, None, "what?"), (None, 0, "assistant", "lost " * 3000), (9002, 0, "user", "")]
+    turns = turns.select("conv_id", "turn", "role", "text").unionByName(spark.createDataFrame(odd, "conv_id long, turn long, role string, text string"))
+    want = defaultdict(lambda: [0, 0])
+    for r in turns.collect():
+        n = len(coder.encode(r.text or "", add_special_tokens=False).ids) + 1
+        want[r.conv_id][0] += n
+        want[r.conv_id][1] += n * (r.role == "assistant")
+    examples = conversation_examples(turns, tokenizer_file())
+    assert {r.conv_id: [r.tokens, r.loss_tokens] for r in examples.collect()} == want
+    by = defaultdict(list)
+    for r in pack_examples(examples, "conv_id", "tokens", "loss_tokens", segments=16, loss=1024).collect():
+        assert want[r.conv_id] == [r.tokens, r.loss_tokens]
+        by[r.sequence_id].append(r)
+    assert sorted(str(r.conv_id) for rs in by.values() for r in rs) == sorted(map(str, want))
+    for rs in by.values():
+        assert [r.offset for r in sorted(rs, key=lambda r: r.offset)] == np.cumsum([0, *[r.tokens for r in sorted(rs, key=lambda r: r.offset)]])[:-1].tolist()
+        assert len(rs) == 1 or sum(r.tokens for r in rs) <= 2048 and sum(r.loss_tokens for r in rs) <= 1024 and len(rs) <= 16
+
+
 def test_quality(spark, docs):
     rows = [(i, "plain words of a good text " * 5, 1) for i in range(1000, 1040)] + [(i, "BUY!! NOW!! $$$ " * 9, 0) for i in range(1040, 1080)]
     extra = docs.unionByName(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), allowMissingColumns=True)
