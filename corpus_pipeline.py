@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sketchweave.llm.common import materialise
+from sketchweave.llm.common import Scratch, delete
 from sketchweave.llm.exact_dedup import exact_dedup
 from sketchweave.llm.jaccard_join import jaccard_components
 from sketchweave.llm.mixing import mix
@@ -78,9 +78,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage over what the others kept; a stage's table goes when the next one is written."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = materialise(docs, f"stage-{i}")
+            scratch = Scratch(spark, f"stage-{i}")
+            docs = scratch.table(docs, "rows")
+            if last:
+                delete(last.path, spark)
+            last = scratch
     return docs
