@@ -152,7 +152,7 @@ CLASSES = [*FAMILIES, "unknown", "none"]
 UNKNOWN, NONE = len(FAMILIES), len(FAMILIES) + 1
 
 BITS, GRAMS = 16, 3
-#: Corpus lines that the fit takes (the documented bound of the sample), and variants of each template.
+#: Most corpus lines that the fit takes (the documented bound of the sample), and variants of each template.
 FIT_PARAGRAPHS, VARIANTS = 4000, 60
 #: Least probability of a notice's best class, least similarity that confirms it; bytes of text handled at a time.
 LIKELY, CONFIRM, SLICE = 0.5, 0.5, 2 << 20
@@ -379,9 +379,12 @@ def fit(corpus: list[str], seed: int = 1, epochs: int = 12) -> Model:
 
 
 def corpus_sample(docs: DataFrame, rows: int) -> list[str]:
-    """That many lines, those of the smallest hashes, from all documents."""
-    lines = docs.select(F.explode(F.split(F.col("text"), "\n")).alias("p")).where("length(p) > 0").select("p", F.xxhash64(F.lit(1), "p").alias("h"))
-    return [r[0] for r in lines.orderBy("h", "p").limit(rows).collect()]
+    """About that many lines at most, by a hash of their words, from all documents; tasks send what the hash picks and no more."""
+    n = docs.select(F.sum(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)).first()[0] or 0
+    lines = docs.select(F.explode(F.split(F.col("text"), "\n")).alias("p")).where("length(p) > 0").select("p", F.pmod(F.xxhash64(F.lit(1), "p"), F.lit(1 << 30)).alias("h"))
+    share = int(min(1.0, rows / max(1, n)) * (1 << 30)) + 1
+    # A line of very many documents is picked with all its copies or not at all: one copy is enough.
+    return [r[0] for r in lines.where(F.col("h") < share).distinct().orderBy("h", "p").limit(rows).collect()]
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_paragraphs: int = FIT_PARAGRAPHS) -> DataFrame:
