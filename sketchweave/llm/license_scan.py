@@ -380,7 +380,7 @@ def fit(corpus: list[str], seed: int = 1, epochs: int = 12) -> Model:
 
 def corpus_sample(docs: DataFrame, rows: int) -> list[str]:
     """About that many lines at most, by a hash of their words, from all documents; tasks send what the hash picks and no more."""
-    n = docs.select(F.sum(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)).first()[0] or 0
+    n = docs.select(F.sum(F.size(F.split("text", "\n")))).first()[0] or 0
     lines = docs.select(F.explode(F.split(F.col("text"), "\n")).alias("p")).where("length(p) > 0").select("p", F.pmod(F.xxhash64(F.lit(1), "p"), F.lit(1 << 30)).alias("h"))
     share = int(min(1.0, rows / max(1, n)) * (1 << 30)) + 1
     # A line of very many documents is picked with all its copies or not at all: one copy is enough.
