@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, pick, shuffle_width
 from .components import components
-from .jaccard_join import Forest
 
 RANGE = 0.95
 #: Vectors of a shard on average; most centroids (the bound of what is broadcast); most vectors of a shard before it is split.
@@ -115,14 +114,15 @@ def reaching(nbr: np.ndarray, start: np.ndarray) -> np.ndarray:
 
 
 def search(q: np.ndarray, x: np.ndarray, nbr: np.ndarray, start: np.ndarray, limit: float) -> np.ndarray:
-    """Greedy search of every query at once, a few of the best open members each at a time; visited
-    members within ``limit`` are always expanded.
+    """Greedy search of every query at once.  A step expands a few of the best open members of each query, and
+    every visited member within ``limit``, so that a range of very many members takes few steps.
 
     nbr: members x degree, padded with the member itself.  Returns the similarities of visited members, -2 elsewhere.
     """
     n, m = len(q), len(x)
     seen = np.full((n, m), -2.0, np.float32)
     open_ = np.full((n, m), -2.0, np.float32)
+    seen_flat, open_flat, reached = seen.ravel(), open_.ravel(), np.zeros(n * m, bool)
     rows = np.arange(n)
     s = q @ x[start].T
     seen[:, start] = s
@@ -130,20 +130,23 @@ def search(q: np.ndarray, x: np.ndarray, nbr: np.ndarray, start: np.ndarray, lim
     beam, most = min(BEAM, m), min(EXPAND, m)
     while len(rows):
         waiting = open_[rows]
-        at = np.argpartition(waiting, m - most, axis=1)[:, m - most :]
-        best = np.take_along_axis(waiting, at, axis=1)
+        best = np.argpartition(waiting, m - most, axis=1)[:, m - most :]
+        value = np.take_along_axis(waiting, best, axis=1)
         bar = np.partition(seen[rows], m - beam, axis=1)[:, m - beam, None]
-        go = (best > -2) & ((best >= bar) | (best >= limit))
-        of, at = np.repeat(rows, go.sum(axis=1)), at[go]
+        go = waiting >= limit
+        np.put_along_axis(go, best, (value > -2) & ((value >= bar) | (value >= limit)), axis=1)
+        of, at = np.nonzero(go)
+        of = rows[of]
         rows = rows[go.any(axis=1)]
         open_[of, at] = -2
-        to = nbr[at]
-        of = np.broadcast_to(of[:, None], to.shape)
-        new = seen[of, to] <= -2
-        of, to = of[new], to[new]
-        for a in range(0, len(of), GATHER):
-            i, j = of[a : a + GATHER], to[a : a + GATHER]
-            seen[i, j] = open_[i, j] = np.einsum("nd,nd->n", q[i], x[j])
+        for a in range(0, len(of), GATHER // 4):
+            key = (of[a : a + GATHER // 4, None] * m + nbr[at[a : a + GATHER // 4]]).ravel()
+            reached[key[seen_flat[key] <= -2]] = True
+            new = np.flatnonzero(reached)
+            reached[new] = False
+            for b in range(0, len(new), GATHER):
+                k = new[b : b + GATHER]
+                seen_flat[k] = open_flat[k] = np.einsum("nd,nd->n", q[k // m], x[k % m])
     return seen
 
 
@@ -259,7 +262,7 @@ def _search_once(classes, shared, k, width, limit, visits, buckets, audit, exact
             at = np.flatnonzero(member)
             if not len(at):
                 continue
-            rep, home, w = t["rep"].to_numpy(), t["home"].to_numpy(zero_copy_only=False)[at], t["w"].to_numpy()[at]
+            rep, home, weight = t["rep"].to_numpy(), t["home"].to_numpy(zero_copy_only=False)[at], t["w"].to_numpy()
             double = unit(vectors(t["vec"], width))
             q, x = double.astype(np.float32), double[at].astype(np.float32)
             place = {r: i for i, r in enumerate(rep[at].tolist())}
@@ -280,19 +283,23 @@ def _search_once(classes, shared, k, width, limit, visits, buckets, audit, exact
                 extra[j, : len(b)] = b
             nbr = np.concatenate([nbr, extra], axis=1)
             start = reaching(nbr, medoids(x))
-            forest = Forest()
             total, left, right = np.zeros(len(rep), np.int64), [], []
+            # Spanning forest: part of every vector of the shard; of links into one part, one is kept.
+            part = np.arange(len(rep))
             for a in range(0, len(rep), QUERIES):
                 found = q[a : a + QUERIES] @ x.T if exact else search(q[a : a + QUERIES], x, nbr, start, limit - 0.05)
                 i, j = np.nonzero((found >= limit - 1e-4) & home[None, :])
-                i = i + a
-                cosine = np.einsum("nd,nd->n", double[i], double[at[j]])
-                ok = (cosine >= limit) & (rep[i] != rep[at[j]])
+                i, j = i + a, at[j]
+                ok = np.concatenate([np.einsum("nd,nd->n", double[i[b : b + GATHER]], double[j[b : b + GATHER]]) >= limit for b in range(0, len(i), GATHER)] or [np.zeros(0, bool)]) & (i != j)
                 i, j = i[ok], j[ok]
-                np.add.at(total, i, w[j])
-                for u, v in zip(rep[i].tolist(), rep[at[j]].tolist()):
-                    if forest.join(u, v):
-                        left.append(u), right.append(v)
+                total += np.bincount(i, weight[j], len(rep)).astype(np.int64)
+                begin = np.flatnonzero(np.append(True, i[1:] != i[:-1])) if len(i) else np.zeros(0, np.int64)
+                for b, e in zip(begin.tolist(), [*begin[1:].tolist(), len(i)]):
+                    u, to = int(i[b]), j[b:e]
+                    other = part[to]
+                    for p in np.unique(other[other != part[u]]).tolist():
+                        left.append(int(rep[u])), right.append(int(rep[to[other == p][0]]))
+                        part[part == p] = part[u]
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(total[some]), pa.nulls(len(some), pa.int64())], names=["a", "n", "b"])
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.nulls(len(left), pa.int64()), pa.array(right, pa.int64())], names=["a", "n", "b"])
