@@ -55,7 +55,7 @@ SLICE, BLOCK = 4 << 20, 4 << 20
 #: One entry more that linked sets must share for so many tokens of the smaller set.
 SHARE = 16
 #: Most members, tokens and visitors of an opened block, on average.
-MEMBERS, TOKENS, VISITORS = 512, 2_000_000, 4096
+MEMBERS, TOKENS, VISITORS = 512, 2_000_000, 1024
 SALT = np.array([0x5851F42D4C957F2D, 0x14057B7EF767814F, 0x2545F4914F6CDD1D, 0x9FB21C651E98DF25], np.uint64)
 
 
@@ -446,7 +446,8 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     edges = scratch.table(near.unionByName(far), "links")
     found = components(edges, scratch)
     tops = names.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "low", F.coalesce("component", "rep").alias("component"))
-    lows = tops.groupBy("component").agg(F.min("low").alias("name"))
+    # Written, so that the join reads plain shuffles and a large component can be split over tasks.
+    lows = scratch.table(tops.groupBy("component").agg(F.min("low").alias("name")), "names")
     tops = tops.join(lows, "component").select("d1", "d2", "name")
     out = rows.select("id", "n", "d1", "d2").join(tops, ["d1", "d2"], "left")
     return scratch.result(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("name")).otherwise(F.col("id")).alias("component_id")))

@@ -197,7 +197,8 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
         named = one.select("vec", "low", "rep", "w").join(counts, "rep", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
         part = named.select("vec", "low", (F.coalesce("near", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
         tops = part if len(sizes) == 1 else tops.unionByName(part)
-    lows = tops.groupBy("component").agg(F.min("low").alias("name"))
+    # Written, so that the join reads plain shuffles and a large component can be split over tasks.
+    lows = scratch.table(tops.groupBy("component").agg(F.min("low").alias("name")), "names")
     tops = tops.join(lows, "component").select("vec", "n_links", "name")
     good = rows.where("ok").join(tops, "vec").select("id", "n_links", F.col("name").alias("component_id"))
     bad = rows.where("NOT ok").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
