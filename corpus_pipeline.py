@@ -57,7 +57,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row as often as the mix takes it."""
     columns, docs = docs.columns, _numbered(docs)
     copies = mix(docs, id_col="_row").where("copies > 0").select("_row", "copies")
-    placed = docs.join(copies, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    # Copies grow with the documents, so they are shuffled at every size and never broadcast.
+    placed = docs.join(copies.hint("shuffle_merge"), "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return placed.select(*columns)
 
 
